@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomspark.sources.tables import table
 
 from .chat import link_tool_calls
+from .decontam import contained_items
+from .linededup import dedup_lines
 from .mixing import poisson_mix
 
 REPLY = {"reply": {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 3}}, "required": ["prompt", "turn", "words"]}}
@@ -62,5 +64,42 @@ r AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n))::INT AS re
 SELECT *, md5('8:' || coalesce(doc_id::VARCHAR, 'null') || ':' || replica) AS shuffle_key FROM r
 """
 
-QUERIES = {"op3_chat_formatting": op3_chat_formatting, "op8_mixing": op8_mixing}
-ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), long_line=50).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+ORACLE_9 = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+x AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM l),
+y AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM x),
+pairs AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, pos) AS nth FROM y
+          WHERE regexp_matches(line, '\S') AND regexp_matches(after, '\S')),
+alone AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, long ORDER BY doc_id, pos) AS nth
+          FROM (SELECT *, len(regexp_extract_all(line, '\S+')) >= 50 AS long FROM y WHERE regexp_matches(line, '\S')) WHERE long OR n = 1),
+gone AS (SELECT doc_id, pos FROM pairs WHERE nth > 1 UNION SELECT doc_id, pos + 1 FROM pairs WHERE nth > 1 UNION SELECT doc_id, pos FROM alone WHERE nth > 1),
+lists AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY ALL)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(len(gone), 0) AS n_deleted,
+       CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda v, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
+FROM documents d LEFT JOIN lists USING (doc_id)
+"""
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, words=5)
+
+
+def shingle_sql(source: str, key: str) -> str:
+    return rf"""(SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+      WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END) AS s
+      FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {source}))"""
+
+
+ORACLE_10 = f"""
+WITH d AS {shingle_sql("documents", "doc_id")}, b AS {shingle_sql("benchmark", "item_id")},
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
+QUERIES = {"op3_chat_formatting": op3_chat_formatting, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
+ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8, "op9_line_dedup": ORACLE_9, "op10_decontamination": ORACLE_10}

@@ -98,7 +98,7 @@ ORACLE_10 = f"""
 WITH d AS {shingle_sql("documents", "doc_id")}, b AS {shingle_sql("benchmark", "item_id")},
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
-FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
+FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """
 
 QUERIES = {"op3_chat_formatting": op3_chat_formatting, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}

@@ -11,6 +11,11 @@ from .chat import link_tool_calls
 from .decontam import contained_items
 from .linededup import dedup_lines
 from .mixing import poisson_mix
+from .weighted import edited_fingerprints
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
 
 REPLY = {"reply": {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 3}}, "required": ["prompt", "turn", "words"]}}
 
@@ -101,5 +106,5 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles A
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """
 
-QUERIES = {"op3_chat_formatting": op3_chat_formatting, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8, "op9_line_dedup": ORACLE_9, "op10_decontamination": ORACLE_10}

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.sources.tables import table
 
 from .chat import link_tool_calls
+from .common import shared_folder
 from .decontam import contained_items
 from .linededup import dedup_lines
 from .mixing import poisson_mix
+from .tokens import read_tokens, write_tokens
 from .weighted import edited_fingerprints
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +57,18 @@ FROM said
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/loom-tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0)
+    return read_tokens(spark, path)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"), power=0.5, seed=8)
 
@@ -106,5 +122,5 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles A
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """
 
-QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op6_token_ids": op6_token_ids, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8, "op9_line_dedup": ORACLE_9, "op10_decontamination": ORACLE_10}

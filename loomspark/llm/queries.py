@@ -14,6 +14,7 @@ from .common import shared_folder
 from .decontam import contained_items
 from .linededup import dedup_lines
 from .mixing import poisson_mix
+from .simhash import near_groups
 from .tokens import read_tokens, write_tokens
 from .weighted import edited_fingerprints
 
@@ -69,6 +70,11 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups(table(spark, sf_dir, "documents"), words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"), power=0.5, seed=8)
 
@@ -122,5 +128,5 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles A
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """
 
-QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op6_token_ids": op6_token_ids, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op6_token_ids": op6_token_ids, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8, "op9_line_dedup": ORACLE_9, "op10_decontamination": ORACLE_10}

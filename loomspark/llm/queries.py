@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.sources.tables import table
 
+from . import toxicity
 from .chat import link_tool_calls
 from .common import shared_folder
 from .decontam import contained_items
@@ -58,6 +59,17 @@ FROM said
 """
 
 
+def fold(name: str, folds: int) -> Column:
+    return F.crc32(F.col(name).cast("string").cast("binary")) % folds
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1), "toxic")
+    found = toxicity.score(docs.select("doc_id", "text"), index)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -128,5 +140,5 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles A
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """
 
-QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op6_token_ids": op6_token_ids, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op6_token_ids": op6_token_ids, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8, "op9_line_dedup": ORACLE_9, "op10_decontamination": ORACLE_10}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.sources.tables import table
 
-from . import toxicity
+from . import quality, toxicity
 from .chat import link_tool_calls
 from .common import shared_folder
 from .decontam import contained_items
@@ -63,6 +63,13 @@ def fold(name: str, folds: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % folds
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = quality.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2), "quality")
+    found = quality.score(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1), "toxic")
@@ -140,5 +147,5 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles A
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """
 
-QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op6_token_ids": op6_token_ids, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op2_quality_classifier": op2_quality_classifier, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op6_token_ids": op6_token_ids, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8, "op9_line_dedup": ORACLE_9, "op10_decontamination": ORACLE_10}

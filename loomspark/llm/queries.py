@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.sources.tables import table
 
-from . import quality, toxicity
+from . import html, quality, toxicity
 from .chat import link_tool_calls
 from .common import shared_folder
 from .decontam import contained_items
@@ -77,6 +77,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -147,5 +152,5 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles A
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """
 
-QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op2_quality_classifier": op2_quality_classifier, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op6_token_ids": op6_token_ids, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op2_quality_classifier": op2_quality_classifier, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op5_html_extraction": op5_html_extraction, "op6_token_ids": op6_token_ids, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES = {"op3_chat_formatting": ORACLE_3, "op8_mixing": ORACLE_8, "op9_line_dedup": ORACLE_9, "op10_decontamination": ORACLE_10}

@@ -1,4 +1,63 @@
-"""The corpus pipeline: five stages from raw documents to token files."""
+"""The corpus pipeline: from raw documents to token files, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result to the shared folder
+and reads it back as the next one's docs. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomspark.llm import toxicity
+from loomspark.llm.common import cut, shared_folder
+from loomspark.llm.decontam import decontaminate
+from loomspark.llm.mixing import poisson_mix
+from loomspark.llm.queries import fold, tokenizer_path
+from loomspark.llm.simhash import drop_near_copies
+from loomspark.llm.tokens import read_tokens, write_tokens
+from loomspark.sources.tables import table
+
+#: A document with this probability of being toxic or more goes.
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples don't call toxic."""
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1), "toxic")
+    return toxicity.score(docs, index).where(f"score < {TOXIC}").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies: 5-word shingles, similarity 0.8 or more."""
+    return drop_near_copies(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item: less than 0.8 of its 5-word shingles."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), threshold=0.8, words=5)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source in proportion to the square root of its size, by Poisson replication, in random order."""
+    return poisson_mix(docs, power=0.5, seed=8).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending doc_id order, and what stands in them for each (copy of a) document."""
+    path = f"{shared_folder(spark)}/loom-tokens-{uuid.uuid4().hex}"
+    write_tokens(docs, path, tokenizer_path(), end_id=0)
+    return read_tokens(spark, path)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_copies), ("decontamination", drop_benchmark), ("mixing", mix), ("token_ids", to_tokens)]
+
+#: SQL has neither the tokenizer nor the learned classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

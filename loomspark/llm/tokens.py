@@ -16,19 +16,36 @@ from .common import cut, small
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
-#: Words whose ids a worker remembers.
-KEPT_WORDS = 1_000_000
+#: Pre-tokens whose ids a worker remembers, and the slots of its table (a power of two).
+KEPT_PIECES, SLOT_BITS = 900_000, 21
+#: Bytes of text that are cut at a time.
+CUT_BYTES = 1 << 19
 FILE_SCHEMA = "part int, block int, ids_before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, ranked binary, control binary, data binary"
 
-# A space before something that isn't a space begins a pre-token of byte-level BPE, whatever stands around it. A text
-# without two spaces in a row, or one at its end, can be cut at every space, then.
-UNEVEN = re.compile(r" (?!\S)")
+# Texts with an apostrophe (a contraction may begin there), or with characters beyond ASCII that aren't Latin letters,
+# are not cut here but given to the library whole.
+UNCUT = re.compile("['\x80-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u0250-\U0010ffff]")
+SPACE, LETTER, DIGIT, OTHER, END = range(5)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+CLASS[ord("0") : ord("9") + 1] = DIGIT
+CLASS[ord("A") : ord("Z") + 1] = CLASS[ord("a") : ord("z") + 1] = CLASS[0x80:] = LETTER
+CLASS[0xFF] = END  # no byte of UTF-8: stands after each text
+#: Powers of a base and of its inverse modulo 2^64, for hashes of all pieces from one running sum.
+BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = base & 0xFFFFFFFFFFFFFFFF
+    return np.multiply.accumulate(out)
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE of the tokenizers library. As such a model encodes each pre-token by
-    itself, the ids of a word (with the space before it) are taken from the library once and remembered; a text
-    that can't be cut at its spaces (see UNEVEN) goes to the library whole."""
+    """Ids of whole texts by a byte-level BPE of the tokenizers library. Such a model encodes each pre-token (a word
+    with the space before it, a number, a run of other signs or of white space) by itself; so texts are cut into
+    these by byte classes, and the ids of each piece are taken from the library once and remembered under a 64-bit
+    hash of its bytes. Texts that can't be cut this way (see UNCUT) go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -36,52 +53,102 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.newline = self._whole("\n")
+        self.powers, self.inverse = _powers(BASE, CUT_BYTES + 1), _powers(pow(BASE, -1, 1 << 64), CUT_BYTES + 1)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
+        self.slots, self.places = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
         self.starts, self.sizes, self.ids, self.held = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.uint32), 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        joined = [w for w in words if "\n" not in w] if len(self.newline) == 1 else []
-        ids = self._whole("\n".join(joined)) if joined else self.ids[:0]  # a newline is a pre-token of its own between two words
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Remembers the ids of pieces that aren't known; they are given to the library with newlines between them,
+        as a newline is a pre-token of its own next to anything but white space."""
+        blank = [k for k, w in enumerate(pieces) if w.isspace()]
+        solid = [k for k, w in enumerate(pieces) if not w.isspace()]
+        ids = self._whole("\n".join(pieces[k] for k in solid)) if len(self.newline) == 1 else self.newline
         cuts = np.flatnonzero(ids == self.newline[0])
-        if len(cuts) == len(joined) - 1:
+        if solid and len(cuts) == len(solid) - 1:
             sizes, ids = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, ids[ids != self.newline[0]]
-            alone = [w for w in words if "\n" in w]
         else:
-            joined, sizes, ids, alone = [], np.zeros(0, np.int64), self.ids[:0], words
-        each = [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(alone, add_special_tokens=False)]
+            blank, solid, sizes, ids = [*solid, *blank], [], np.zeros(0, np.int64), self.ids[:0]
+        each = [self._whole(pieces[k]) for k in blank]
         sizes, ids = np.concatenate([sizes, np.array([len(x) for x in each], np.int64)]), np.concatenate([ids, *each])
-        n = len(self.known)
-        self.known.update(zip(joined + alone, range(n, n + len(words))))
-        while len(self.sizes) < n + len(words):
+        hashes, n, more = hashes[[*solid, *blank]], len(self.known), len(pieces)
+        self.known.update(zip(hashes.tolist(), range(n, n + more)))
+        while len(self.sizes) < n + more:
             self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
         while len(self.ids) < self.held + len(ids):
             self.ids = np.append(self.ids, self.ids * 0)
-        self.starts[n : n + len(words)], self.sizes[n : n + len(words)] = self.held + np.cumsum(sizes) - sizes, sizes
+        self.starts[n : n + more], self.sizes[n : n + more] = self.held + np.cumsum(sizes) - sizes, sizes
         self.ids[self.held : self.held + len(ids)] = ids
         self.held += len(ids)
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        free = self.places[slot] < 0  # a slot stays with its first piece; the others are found in `known`
+        self.slots[slot[free]], self.places[slot[free]] = hashes[free], np.arange(n, n + more, dtype=np.int32)[free]
+        won = self.slots[slot] == hashes
+        self.places[slot[won]] = np.arange(n, n + more, dtype=np.int32)[won]
+
+    def _cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in raw, each ended by 0xFF, and the number of ids before each end."""
+        b = np.frombuffer(raw, np.uint8)
+        c = CLASS[b]
+        before, after = np.concatenate([[np.uint8(END)], c[:-1]]), np.concatenate([c[1:], [np.uint8(END)]])
+        spaces, solid = c == SPACE, (c != SPACE) & (c != END)
+        # a run of white space leaves its last character to what follows it: a space joins that, others stand alone
+        begins = (spaces & ((before != SPACE) | ((after != SPACE) & (after != END)))) | (c == END)
+        joined = np.concatenate([[False], b[:-1] == 32])
+        begins |= solid & np.where(before == SPACE, ~joined, before != c)
+        at = np.flatnonzero(begins)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.powers[: len(b)])])
+        ends = np.append(at[1:], len(b))
+        hashes = (sums[ends] - sums[at]) * self.inverse[at] * np.uint64(0xD6E8FEB86659FD93)
+        stop = c[at] == END
+        hashes[stop] = 0
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        place = np.where(self.slots[slot] == hashes, self.places[slot], -1).astype(np.int64)
+        place[stop] = -1
+        missed = np.flatnonzero((place < 0) & ~stop)
+        if len(missed):
+            names, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            new = [k for k, h in enumerate(names.tolist()) if h not in self.known]
+            if new:
+                where = missed[first[new]]
+                self._learn(names[new], [raw[s:e].decode() for s, e in zip(at[where].tolist(), ends[where].tolist())])
+            place[missed] = np.fromiter(map(self.known.__getitem__, names.tolist()), np.int64, len(names))[back]
+        sizes = np.where(stop, 0, self.sizes[place])
+        done = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[place] - done + sizes, sizes) + np.arange(done[-1])]
+        return ids, done[stop]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_PIECES:
             self.forget()
-        words = [None if UNEVEN.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        unknown = [w for w in set().union(*(w for w in words if w)) if w not in self.known]
-        if unknown:
-            self._learn(unknown)
-        out = []
-        for text, w in zip(texts, words):
-            if w is None:
-                out.append(self._whole(text))
+        out: list = [None] * len(texts)
+        raw, at, size = [], [], 0
+
+        def flush() -> None:
+            nonlocal raw, at, size
+            if raw:
+                ids, ends = self._cut(b"\xff".join(raw) + b"\xff")
+                for k, s, e in zip(at, [0, *ends[:-1].tolist()], ends.tolist()):
+                    out[k] = ids[s:e]
+            raw, at, size = [], [], 0
+
+        for k, text in enumerate(texts):
+            if UNCUT.search(text) or len(text) * 2 >= CUT_BYTES:
+                out[k] = self._whole(text)
                 continue
-            at = np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])])
+            found = text.encode()
+            if size + len(found) >= CUT_BYTES:
+                flush()
+            raw.append(found)
+            at.append(k)
+            size += len(found) + 1
+        flush()
         return out
 
 
@@ -149,8 +216,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         for pdf in batches:
             names = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist()
             texts = pdf["text"].tolist()
-            for at in range(0, len(texts), 64):
-                for name, ids in zip(names[at : at + 64], model.encode(texts[at : at + 64])):
+            for at in range(0, len(texts), 256):
+                for name, ids in zip(names[at : at + 256], model.encode(texts[at : at + 256])):
                     doc_ids.append(None if name is None else int(name))
                     held.append(np.append(ids, np.uint32(end_id)))
                     size += len(held[-1])

@@ -159,7 +159,7 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 #: Near copies of whole texts: words a shingle, similarity, mean words of a piece, pieces and shingle hashes kept.
-SHINGLE, SIMILAR, PIECE_WORDS, PIECES, LEAST_HASHES = 5, 0.8, 20, 10, 32
+SHINGLE, SIMILAR, PIECE_WORDS, PIECES, LEAST_HASHES = 5, 0.8, 12, 10, 32
 #: Documents of one piece that are compared pair by pair.
 FEW_DOCUMENTS = 8
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]

@@ -70,7 +70,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_hex(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x.bitwiseAND(0xFFFF)), 4, "0")), "")
+    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(0xFFFF)), 4, "0"))), "")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

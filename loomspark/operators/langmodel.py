@@ -35,7 +35,8 @@ def next_phrase(counts: DataFrame, limits: tuple = PHRASE_LIMITS, probabilities:
     rows = split.join(totals, "phrase").unionByName(own)
     best = Window.partitionBy("phrase", "n_words").orderBy(F.col("freq").desc(), "next_phrase")
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n_words"))
-    ranked = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= at(limits))
+    # the constant bound lets Spark keep only the first rows of each group before it shuffles them
+    ranked = rows.withColumn("place", F.row_number().over(best)).where((F.col("place") <= max(limits)) & (F.col("place") <= at(limits)))
     kept = ranked.where((F.col("next_phrase") != "@") & (F.col("freq") / F.col("total") >= at(probabilities)))
     return kept.select("phrase", "next_phrase", "freq", (F.col("freq") / F.col("total")).alias("probability"))
 

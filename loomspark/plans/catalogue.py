@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from loomspark.functions.text import normalize, partition_of, tokenize, word_cou
 from loomspark.functions.vectors import add, next_power_of_two, squared_distance
 from loomspark.operators import cooccur, graph, kmeans, langmodel, linalg, ngrams, oplog, prefix, ratings, search
 from loomspark.sources import files, points, text
-from loomspark.sources.scratch import cut
+from loomspark.sources.scratch import new_path, written
 from loomspark.sources.tables import table
 
 from . import sql
@@ -31,12 +29,6 @@ def query(oracle: str | None = None):
     return register
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files."""
-    cut(spark.range(1))  # sets a checkpoint folder where there is none
-    return f"{spark.sparkContext.getCheckpointDir()}/loom-{uuid.uuid4().hex}"
-
-
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.lines_of(table(spark, sf_dir, "documents"))
 
@@ -89,7 +81,7 @@ def tag_feature_vector(spark, sf_dir):
 
 @query(f"WITH {sql.TAGGED} SELECT sum(a.cnt * b.cnt)::BIGINT AS sim, a.hashtag AS h1, b.hashtag AS h2 FROM counts a JOIN counts b ON a.word = b.word AND a.hashtag < b.hashtag GROUP BY ALL")
 def tag_similarity(spark, sf_dir):
-    return cooccur.tag_similarity(cooccur.word_tag_counts(tagged_lines(spark, sf_dir)))
+    return cooccur.tag_similarity(written(cooccur.word_tag_counts(tagged_lines(spark, sf_dir))))
 
 
 @query(
@@ -112,7 +104,7 @@ def event_type_similarity(spark, sf_dir):
     FROM ext JOIN f ON f.phrase = ext.prefix QUALIFY rank <= 5"""
 )
 def lm_next_word(spark, sf_dir):
-    return langmodel.next_word(ngrams.phrase_counts(doc_lines(spark, sf_dir), 3))
+    return langmodel.next_word(written(ngrams.phrase_counts(doc_lines(spark, sf_dir), 3)))
 
 
 @query(
@@ -125,7 +117,7 @@ def lm_next_word(spark, sf_dir):
     WHERE place <= [3, 2, 2, 1][n] AND next_phrase <> '@' AND freq / total >= [0.05::DOUBLE, 0.03::DOUBLE, 0.01::DOUBLE, 0.005::DOUBLE][n]"""
 )
 def lm_next_phrase(spark, sf_dir):
-    return langmodel.next_phrase(ngrams.phrase_counts(doc_lines(spark, sf_dir), 5))
+    return langmodel.next_phrase(written(ngrams.phrase_counts(doc_lines(spark, sf_dir), 5)))
 
 
 # graphs
@@ -342,7 +334,7 @@ def matrix_random(spark, sf_dir):
 
 @query("SELECT vec_id AS id, (unnest(range(1, 65)) - 1)::INT AS j, round(unnest(embedding)::DOUBLE, 6) AS v FROM embeddings")
 def text_points_roundtrip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_path(spark)
     p = vectors(spark, sf_dir)
     p.orderBy("id").select(F.concat_ws(" ", F.col("id").cast("string"), F.transform("v", lambda x: x.cast("string"))).alias("value")).write.text(path)
     return points.read_text_points(spark, path).select("id", F.posexplode("v").alias("j", "v")).select("id", "j", F.round(F.col("v").cast("double"), 6).alias("v"))
@@ -350,7 +342,7 @@ def text_points_roundtrip(spark, sf_dir):
 
 @query("SELECT 3::BIGINT AS files, 1000::BIGINT AS n, sum(i)::DOUBLE * 3 AS total FROM range(0, 1000) t(i)")
 def binary_points_roundtrip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_path(spark)
     for k in range(3):
         files.write_bytes(spark, f"{path}/p{k}.bin", points.binary_points(np.arange(1000).reshape(250, 4)))
     n_files = files.listing(spark, path, ".*/p[0-9]\\.bin").count()
@@ -360,14 +352,14 @@ def binary_points_roundtrip(spark, sf_dir):
 
 @query("SELECT c_mktsegment AS phrase, count(*) AS freq FROM customer GROUP BY ALL")
 def tsv_roundtrip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_path(spark)
     text.write_tsv(table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("phrase")).agg(F.count(F.lit(1)).alias("freq")), path)
     return text.read_ngrams(spark, path)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 7, 32, 100)")
 def keyed_lookup(spark, sf_dir):
-    path = scratch(spark)
+    path = new_path(spark)
     text.write_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, "o_orderkey")
     return text.lookup(spark, path, "o_orderkey", [1, 7, 32, 100])
 

@@ -7,16 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_text_points(spark: SparkSession, path: str) -> DataFrame:
     """(id, v) of lines `name x y ...`, separated by spaces, commas or tabs: the first field is dropped, blank lines
-    are skipped, and the id is the line's place among the others, counted over all partitions. The first line's
+    are skipped, and the id is the line's place among the others, by file name and place in the file. The first line's
     number of coordinates holds for all; a field that is no number reads as null."""
-    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", "[\t,]", " ")) != "")
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0].value)).toDF("id bigint, value string")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.where(F.trim(F.regexp_replace("value", "[\t,]", " ")) != "").withColumn("at", F.monotonically_increasing_id())
+    # a row for each split of a file; within one, the ids that Spark gives are consecutive
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")
+    numbered = lines.join(F.broadcast(splits.select("file", "start", "low", before.alias("before"))), ["file", "start"]).withColumn("id", F.col("before") + F.col("at") - F.col("low"))
     fields = F.split(F.trim(F.regexp_replace("value", "[ ,\t]+", " ")), " ")
     return numbered.select("id", F.transform(F.slice(fields, 2, 1 << 20), lambda x: x.try_cast("float")).alias("v"))
 

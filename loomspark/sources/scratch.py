@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="loom-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir; a folder of our own only
-    where that is unset, as in tests."""
+    """df as a reliable checkpoint, for the small tables of an iteration."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = "file://" + tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{folder(spark)}/loom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder: for large tables that are read more than once."""
+    path = new_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,13 +20,20 @@ def _points(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of and squared distance to the nearest centre; of equals the first."""
-    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
-    for k, c in enumerate(centres):
-        d = ((x - c) ** 2).sum(1)
-        nearer = d < best
-        at[nearer], best[nearer] = k, d[nearer]
-    return at, best
+    """Index of and squared distance to the nearest centre; of equals the first. One matrix product finds it for
+    most points; where others come within its rounding, the distances are taken from the differences."""
+    at = np.zeros(len(x), np.int32)
+    squares = (centres**2).sum(1)
+    for lo in range(0, len(x), step := max(1, (1 << 20) // len(centres))):
+        part = x[lo : lo + step]
+        d = squares - 2 * (part @ centres.T)
+        best = d.argmin(1)
+        slack = 1e-9 * ((part**2).sum(1) + squares.max())
+        near = np.flatnonzero((d <= (d[np.arange(len(part)), best] + slack)[:, None]).sum(1) > 1)
+        if len(near):
+            best[near] = np.stack([((part[near] - c) ** 2).sum(1) for c in centres], 1).argmin(1)
+        at[lo : lo + step] = best
+    return at, ((x - centres[at]) ** 2).sum(1)
 
 
 def assign(points: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -70,6 +77,13 @@ def partial_sums(points: DataFrame, centres: np.ndarray, before: np.ndarray | No
     return rows.groupBy("cid").agg(F.sum("size").alias("size"), total.alias("sums"), F.sum("changed").alias("changed"), F.sum("cost").alias("cost"))
 
 
+def local_sums(x: np.ndarray, centres: np.ndarray, was: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Membership, sizes, sums and number of changes of points in memory."""
+    at, _ = _nearest(x, centres)
+    sums = np.stack([np.bincount(at, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
+    return at, np.bincount(at, minlength=len(centres)), sums, len(x) if was is None else int((at != was).sum())
+
+
 def update(sums: DataFrame, centres: np.ndarray, min_size: int = 1) -> tuple[np.ndarray, int]:
     """New centres (the mean, or the old one for clusters of fewer than min_size points) and the number of points
     that changed cluster."""
@@ -103,6 +117,10 @@ def plus_plus(points: DataFrame, first_id: int, draws: list[float]) -> list[int]
     return ids
 
 
+#: Numbers (points times coordinates) up to which the passes run on the driver: counted first, 32 MB at most.
+LOCAL_NUMBERS = 4_000_000
+
+
 @dataclass
 class Fitted:
     centres: np.ndarray
@@ -121,16 +139,24 @@ def kmeans(points: DataFrame, k: int, threshold: float = 0.001, max_loops: int =
 
     init: "first" (the k rows with the smallest ids), "random", or the centres. min_size 2 lets clusters of one
     point keep their centre; least_passes forces as many. Each pass is one scan of the points and K rows to the
-    driver; the points are kept in memory as far as it goes."""
+    driver; the points are kept in memory as far as it goes. Up to LOCAL_NUMBERS, where a pass is shorter than
+    starting its tasks, the same passes run over an array on the driver."""
     if k < 2:
         raise ValueError("k has to be 2 or more")
     points = points.select("id", "v").persist()
     n = points.count()
     centres = np.asarray(init, np.float64) if not isinstance(init, str) else (first_rows if init == "first" else lambda p, k: random_rows(p, k, seed))(points, k)
     before, last, loop = None, centres, 0
+    x = None
+    if n * centres.shape[1] <= LOCAL_NUMBERS:
+        x, was = np.array([r.v for r in points.select("v").collect()], np.float64), None
     while True:
         last = centres
-        centres, changed = update(partial_sums(points, last, before), last, min_size)
+        if x is not None:
+            was, size, sums, changed = local_sums(x, last, was)
+            centres = np.where((size >= max(1, min_size))[:, None], sums / np.maximum(size, 1)[:, None], last)
+        else:
+            centres, changed = update(partial_sums(points, last, before), last, min_size)
         before = last
         loop += 1
         if loop >= least_passes and (changed <= threshold * n or loop > max_loops):

@@ -28,7 +28,9 @@ def brute(x, k, threshold, most=500):
             return c, at, loop
 
 
-def test_same_as_sequential_passes(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_same_as_sequential_passes(spark, monkeypatch, local):
+    monkeypatch.setattr(kmeans, "LOCAL_NUMBERS", local)
     x = np.random.default_rng(1).random((200, 4))
     c, at, loop = brute(x, 7, 0.001)
     fitted = kmeans.kmeans(points(spark, x), 7)

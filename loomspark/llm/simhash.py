@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, drop, small
 from .components import components
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
@@ -139,7 +139,9 @@ def near_links(prints: DataFrame) -> DataFrame:
     points = cut(points)
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select("point", "a")
     stars = points.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    links = cut(pairs.unionByName(stars).distinct())
+    drop(keys, shared, few, points)
+    return links
 
 
 def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -191,14 +193,14 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(_runs(hashes, SHINGLE)) if len(hashes) else hashes
 
 
-def sketch(text: str | None) -> tuple[list[int], list[int], int]:
-    """SimHashes of up to PIECES pieces of a text and of the whole, its least shingle hashes, its shingles' number.
+def sketch(text: str | None) -> tuple[int, list[int], list[int], int]:
+    """SimHashes of a whole text and of up to PIECES pieces of it, its least shingle hashes, its shingles' number.
 
     Pieces begin at word pairs whose hash says so, on average every PIECE_WORDS words, so an edit changes only the
     piece it is in; of all pieces those with the smallest mixed SimHash are kept, in any text the same ones."""
     hashes = word_hashes(text)
     if not len(hashes):
-        return [0], [], 0
+        return 0, [], [], 0
     triples = _runs(hashes, 3)
     bits = np.unpackbits(triples.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     starts = np.concatenate([[0], 1 + np.flatnonzero(_runs(hashes, 2)[:-1] % np.uint64(PIECE_WORDS) == 0)]) if len(hashes) > 3 else np.array([0])
@@ -211,19 +213,22 @@ def sketch(text: str | None) -> tuple[list[int], list[int], int]:
     long = np.unique(long if len(long) else prints)
     kept = long[np.argsort(_mix(long), kind="stable")[:PIECES]]
     least = np.unique(_runs(hashes, SHINGLE))
-    return np.unique(np.concatenate([kept, whole])).view(np.int64).tolist(), least[:LEAST_HASHES].view(np.int64).tolist(), len(least)
+    return int(whole.view(np.int64)[0]), kept.view(np.int64).tolist(), least[:LEAST_HASHES].view(np.int64).tolist(), len(least)
 
 
 def likely_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the texts `doc_id` in classes (doc_id, pieces, least, n) that may be alike enough to verify.
-
-    Texts meet at a piece whose SimHashes are connected by near_links: all pairs where FEW_DOCUMENTS meet or fewer;
-    where more do, each with the smallest, and also, for each two pieces in common, with the smallest of those, so
-    that texts that only quote one passage don't hide the others. Pairs whose sizes, or whose least shingle hashes
-    (over three deviations of their estimate), rule out the similarity are dropped."""
-    pieces = cut(classes.select("doc_id", F.explode("pieces").alias("fp")))
-    roots = components(near_links(pieces.select("fp").distinct())).withColumnRenamed("node", "fp")
-    met = pieces.join(roots, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("at")).distinct()
+    """Pairs (a, b) of the texts `doc_id` in classes (doc_id, whole, pieces, least, n) that may be alike enough to
+    verify.
+
+    Texts meet where their whole SimHashes are connected by near_links, and at each piece with the same SimHash:
+    all pairs where FEW_DOCUMENTS meet or fewer; where more do, each with the smallest, and also, for each two places
+    in common, with the smallest of those, so that texts that only quote one passage don't hide the others. Pairs
+    whose sizes, or whose least shingle hashes (over three deviations of their estimate), rule out the similarity
+    are dropped."""
+    links = near_links(classes.select(F.col("whole").alias("fp")).distinct())
+    roots = components(links).select(F.col("node").alias("whole"), "root")
+    wholes = classes.select("doc_id", "whole").join(roots, "whole", "left").select("doc_id", F.xxhash64(F.coalesce("root", "whole"), F.lit("whole")).alias("at"))
+    met = wholes.unionByName(classes.select("doc_id", F.explode("pieces").alias("at"))).distinct()
     sizes = met.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a")).where("n > 1")
     met = cut(met.join(sizes, "at"))
     few, many = met.where(F.col("n") <= FEW_DOCUMENTS), met.where(F.col("n") > FEW_DOCUMENTS)
@@ -237,7 +242,9 @@ def likely_pairs(classes: DataFrame) -> DataFrame:
     both = found.join(facts.select(F.col("doc_id").alias("a"), F.col("l").alias("la"), F.col("n").alias("na")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb")), "b")
     near = F.expr(f"size(array_intersect(slice(array_sort(array_union(la, lb)), 1, {LEAST_HASHES}), array_intersect(la, lb))) / least({LEAST_HASHES}, size(array_union(la, lb)))")
     sized = F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
-    return both.where(sized & (near >= SIMILAR - 0.25)).select("a", "b")
+    likely = cut(both.where(sized & (near >= SIMILAR - 0.25)).select("a", "b"))
+    drop(links, met, twos)
+    return likely
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -246,9 +253,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     white space, A-Z in lower case) is 0.8 or more, verified exactly on the whole texts; candidates come from
     fuzzy hashing (see sketch and likely_pairs). Equal texts, also all without words, are one text."""
 
-    @F.pandas_udf("pieces array<bigint>, least array<bigint>, n int")
+    @F.pandas_udf("whole bigint, pieces array<bigint>, least array<bigint>, n int")
     def sketched(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(t) for t in texts], columns=["pieces", "least", "n"])
+        return pd.DataFrame([sketch(t) for t in texts], columns=["whole", "pieces", "least", "n"])
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -261,27 +268,31 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.select("doc_id", F.md5("text").alias("text_hash"), "text")
     prints = cut(hashed.select("doc_id", "text_hash", sketched("text").alias("s")).select("doc_id", "text_hash", "s.*"))
-    classes = cut(prints.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("pieces", "least", "n")).alias("s")).select("text_hash", "doc_id", "s.*"))
+    classes = cut(prints.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("whole", "pieces", "least", "n")).alias("s")).select("text_hash", "doc_id", "s.*"))
     # a doc_id that stands for several texts has all their pieces; each of its texts is then compared
-    pairs = cut(likely_pairs(classes))
+    pairs = likely_pairs(classes)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = hashed.join(small(cut(ids)), "doc_id", "left_semi").join(classes.select("text_hash", "doc_id").hint("merge"), ["text_hash", "doc_id"], "left_semi").select("doc_id", "text")
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     alike = pairs.join(left, "a").join(right, "b").withColumn("j", jaccard("ta", "tb")).where(F.col("j") >= SIMILAR - 1e-9).select("a", "b")
     roots = components(alike).withColumnsRenamed({"node": "doc_id"})
     named = classes.select("text_hash", "doc_id").join(roots, "doc_id", "left").select("text_hash", F.coalesce("root", "doc_id").alias("root"))
-    return prints.select("doc_id", "text_hash").join(named, "text_hash")
+    found = cut(prints.select("doc_id", "text_hash").join(named, "text_hash"))
+    drop(prints, classes, pairs)
+    return found
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row, that of the smallest doc_id, left of each group of exact and near copies (see near_copies);
     all columns stay. Rows without a doc_id stay: nothing could refer to them. Of rows that share a doc_id those
     with the smallest text_hash of its group stay, and one of repeated rows."""
-    found = cut(near_copies(docs))
+    found = near_copies(docs)
     kept = found.where("doc_id = root").groupBy("doc_id").agg(F.min("text_hash").alias("kept"), F.count(F.lit(1)).alias("rows"))
     gone = cut(found.where("doc_id != root").select("doc_id", "text_hash").unionByName(found.join(kept, "doc_id").where("doc_id = root and text_hash != kept").select("doc_id", "text_hash")).distinct())
+    repeated = not kept.where("rows > 1").isEmpty()
+    drop(found)
     gone = small(gone.withColumnsRenamed({"doc_id": "__loom_id", "text_hash": "__loom_hash"}))
     out = docs.join(gone, (F.col("doc_id") == F.col("__loom_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__loom_hash")), "left_anti").select(*docs.columns)
-    if kept.where("rows > 1").isEmpty():
+    if not repeated:
         return out
     return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

@@ -57,9 +57,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.count, self.known = 0, {}  # known: the pieces whose slot another one has
         self.slots, self.places = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
-        self.starts, self.sizes, self.ids, self.held = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.uint32), 0
+        self.starts, self.sizes, self.ids, self.held = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 17, np.uint32), 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -77,8 +77,8 @@ class Encoder:
             blank, solid, sizes, ids = [*solid, *blank], [], np.zeros(0, np.int64), self.ids[:0]
         each = [self._whole(pieces[k]) for k in blank]
         sizes, ids = np.concatenate([sizes, np.array([len(x) for x in each], np.int64)]), np.concatenate([ids, *each])
-        hashes, n, more = hashes[[*solid, *blank]], len(self.known), len(pieces)
-        self.known.update(zip(hashes.tolist(), range(n, n + more)))
+        hashes, n, more = hashes[[*solid, *blank]], self.count, len(pieces)
+        self.count += more
         while len(self.sizes) < n + more:
             self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
         while len(self.ids) < self.held + len(ids):
@@ -87,10 +87,11 @@ class Encoder:
         self.ids[self.held : self.held + len(ids)] = ids
         self.held += len(ids)
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        free = self.places[slot] < 0  # a slot stays with its first piece; the others are found in `known`
-        self.slots[slot[free]], self.places[slot[free]] = hashes[free], np.arange(n, n + more, dtype=np.int32)[free]
-        won = self.slots[slot] == hashes
-        self.places[slot[won]] = np.arange(n, n + more, dtype=np.int32)[won]
+        free = self.places[slot] < 0  # a slot stays with its first piece
+        self.slots[slot[free]] = hashes[free]
+        won, at = free & (self.slots[slot] == hashes), np.arange(n, n + more, dtype=np.int32)
+        self.places[slot[won]] = at[won]
+        self.known.update(zip(hashes[~won].tolist(), at[~won].tolist()))
 
     def _cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in raw, each ended by 0xFF, and the number of ids before each end."""
@@ -118,14 +119,18 @@ class Encoder:
             if new:
                 where = missed[first[new]]
                 self._learn(names[new], [raw[s:e].decode() for s, e in zip(at[where].tolist(), ends[where].tolist())])
-            place[missed] = np.fromiter(map(self.known.__getitem__, names.tolist()), np.int64, len(names))[back]
-        sizes = np.where(stop, 0, self.sizes[place])
+            slot = (names >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            found = np.where(self.slots[slot] == names, self.places[slot], -1).astype(np.int64)
+            rest = np.flatnonzero(found < 0)
+            found[rest] = np.fromiter(map(self.known.__getitem__, names[rest].tolist()), np.int64, len(rest))
+            place[missed] = found[back]
+        sizes = np.where(stop, 0, self.sizes[place]).astype(np.int64)
         done = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[place] - done + sizes, sizes) + np.arange(done[-1])]
         return ids, done[stop]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_PIECES:
+        if self.count > KEPT_PIECES:
             self.forget()
         out: list = [None] * len(texts)
         raw, at, size = [], [], 0

@@ -19,7 +19,7 @@ TERMS, BLOCK, NEIGHBOURS = 1024, 64, 15
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 #: Words of which a worker remembers which terms they are.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 50_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> list:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: JSON schema types, by what schema_of_variant() calls them.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY.*$", "object": "^OBJECT.*$"}
@@ -37,8 +39,8 @@ def topological_levels(calls: DataFrame) -> DataFrame:
 
     calls: (conv_id, call_id, seq, depends_on), a row per call. level is the longest chain of dependencies below
     a call; -1 if it is on a cycle or depends on one. Where every dependency is earlier, the transcript is
-    already in topological order and its calls aren't returned. Each round settles one more link of the longest
-    chain, for all conversations at once."""
+    already in topological order and its calls aren't returned. Each round (Kahn's) takes the calls that wait for
+    none that is left, in all conversations at once, so there are as many rounds as the longest chain has links."""
     edges = calls.select("conv_id", "call_id", "seq", F.explode(F.array_distinct("depends_on")).alias("dep_id"))
     targets = calls.select("conv_id", F.col("call_id").alias("dep_id"), F.col("seq").alias("dep_seq"))
     edges = cut(edges.join(targets, ["conv_id", "dep_id"]))
@@ -46,18 +48,19 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     if late.isEmpty():
         return calls.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0)
     edges = cut(edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "dep_id"))
-    levels = cut(calls.join(late, "conv_id", "left_semi").select("conv_id", "call_id", F.lit(0).alias("level")))
-    sizes = levels.groupBy("conv_id").agg(F.count(F.lit(1)).alias("calls"))
-    longest = sizes.agg(F.max("calls")).first()[0]
-    for _ in range(longest + 1):
-        below = edges.join(levels.withColumnRenamed("call_id", "dep_id"), ["conv_id", "dep_id"]).groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("now"))
-        # a level above the number of calls can only come from a cycle and needs no further growth
-        grown = cut(levels.join(below, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("level", F.coalesce("now", F.lit(0))).alias("level"), (F.coalesce("now", F.lit(0)) > F.col("level")).alias("moved")))
-        moved = not grown.where("moved").isEmpty()
-        levels = grown.drop("moved")
-        if not moved:
-            break
-    return levels.join(sizes, "conv_id").select("conv_id", "call_id", F.when(F.col("level") < F.col("calls"), F.col("level")).otherwise(-1).alias("level"))
+    left = cut(calls.join(late, "conv_id", "left_semi").select("conv_id", "call_id"))
+    levels, n, keys = None, left.count(), ["conv_id", "call_id"]
+    for level in itertools.count():
+        blocked = edges.select(*keys).distinct()
+        free = left.join(blocked, keys, "left_anti").withColumn("level", F.lit(level))
+        found = cut(free if levels is None else levels.unionByName(free))
+        rest = cut(left.join(blocked, keys, "left_semi"))
+        wait = cut(edges.join(rest.withColumnRenamed("call_id", "dep_id"), ["conv_id", "dep_id"], "left_semi"))
+        drop(edges, left, *([] if levels is None else [levels]))
+        levels, edges, left = found, wait, rest
+        if (m := left.count()) in (0, n):  # all settled, or what is left waits for itself
+            return levels.unionByName(left.withColumn("level", F.lit(-1)))
+        n = m
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

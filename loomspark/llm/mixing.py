@@ -24,10 +24,10 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, p
         schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("weight", T.DoubleType())])
         named = spark.createDataFrame([(NO_SOURCE if k is None else k, float(v)) for k, v in weights.items()], schema)
         weighed = counts.join(named, "source", "left").fillna(0.0, ["weight"])
-    sums = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"))
-    rates = weighed.crossJoin(F.broadcast(sums)).select(  # `sums` is one row
-        "source", "n", F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * (F.lit(float(total)) if total is not None else F.col("all_n")) / F.col("n")).otherwise(F.lit(0.0)).alias("rate")
-    )
+    weighed = cut(weighed)
+    all_weight, all_n = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.sum("n")).first()
+    wanted = float(total) if total is not None else all_n
+    rates = weighed.select("source", "n", (F.col("weight") / all_weight * wanted / F.col("n") if all_weight > 0 else F.lit(0.0)).alias("rate"))
     terms = rates.select("source", "n", "rate", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int"))).alias("k"))
     # in logarithms, so that no rate underflows
     log_p = F.when(F.col("rate") > 0, -F.col("rate") + F.col("k") * F.ln("rate") - F.expr("aggregate(sequence(0, k), 0D, (s, i) -> s + if(i > 1, ln(i), 0D))"))

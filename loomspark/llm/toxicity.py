@@ -58,15 +58,16 @@ def without_copies(rows: list) -> list:
     return kept
 
 
-def telling_terms(counts: list[Counter], labels: np.ndarray, most: int = TERMS) -> list[str]:
+def telling_terms(texts: list[str], labels: np.ndarray, most: int = TERMS) -> list[str]:
     """Terms that are in more of the positive examples than chance explains: a G test of their document frequency,
-    with a threshold that grows with the number of terms tested."""
+    with a threshold that grows with the number of terms tested. One text's terms are held at a time."""
     n, positive = len(labels), int(labels.sum())
     every, hits = Counter(), Counter()
-    for c, y in zip(counts, labels):
-        every.update(c.keys())
+    for text, y in zip(texts, labels):
+        terms = term_counts(text).keys()
+        every.update(terms)
         if y:
-            hits.update(c.keys())
+            hits.update(terms)
     if not 0 < positive < n:
         return []
     least, found = 2 * np.log(len(every)) + 6, []
@@ -181,10 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     """An index over a bounded sample of the labelled documents (see labelled_sample), with document frequencies
     of all of docs. Without labels of both kinds it has no examples and every score is the base rate."""
     sample = without_copies(labelled_sample(docs, labels, label, rows))
-    counts, y = [term_counts(text) for _, text, _ in sample], np.array([r[2] for r in sample], np.float64)
-    terms = telling_terms(counts, y)
+    y = np.array([r[2] for r in sample], np.float64)
+    terms = telling_terms([text for _, text, _ in sample], y)
     n, df = document_frequencies(docs, terms) if terms else (0, np.zeros(0))
     rate = float(y.mean()) if len(y) else 0.0
+    probe = Index(terms, np.ones(len(terms)), [], 0.0)
+    counts = [probe.counts(text) for _, text, _ in sample]
     index = Index(terms, np.log((1 + n) / (1 + df)) + 1e-3, [(i, c, int(v)) for (i, _, v), c in zip(sample, counts)], rate)
     if terms:
         own = {int(i): k for k, i in enumerate(index.ids)}

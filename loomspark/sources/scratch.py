@@ -28,7 +28,10 @@ def new_path(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared folder: for large tables that are read more than once."""
-    path = new_path(df.sparkSession)
+    """df as a compressed table in the shared folder, until the driver ends: for large tables that are read more than
+    once."""
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,12 +5,10 @@ and reads it back as the next one's docs. All but the last return the columns of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import toxicity
-from loomspark.llm.common import cut, shared_folder
+from loomspark.llm.common import cut, scratch_path, until_exit
 from loomspark.llm.decontam import decontaminate
 from loomspark.llm.mixing import poisson_mix
 from loomspark.llm.queries import fold, tokenizer_path
@@ -45,8 +43,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending doc_id order, and what stands in them for each (copy of a) document."""
-    path = f"{shared_folder(spark)}/loom-tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     write_tokens(docs, path, tokenizer_path(), end_id=0)
+    until_exit(spark, path)
     return read_tokens(spark, path)
 
 

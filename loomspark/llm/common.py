@@ -21,12 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def scratch_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/loom-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver's JVM delete what is at the path when it ends, unless drop() did so before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+
+
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost
-    executor costs no more than reading it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loom-{uuid.uuid4().hex}"
+    executor costs no more than reading it again. The table stays until drop() or the end of the driver."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from loomspark.sources.tables import table
 
 from . import html, quality, toxicity
 from .chat import link_tool_calls
-from .common import shared_folder
+from .common import scratch_path, until_exit
 from .decontam import contained_items
 from .linededup import dedup_lines
 from .mixing import poisson_mix
@@ -89,8 +87,9 @@ def tokenizer_path() -> str:
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/loom-tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0)
+    until_exit(spark, path)
     return read_tokens(spark, path)
 
 

@@ -49,6 +49,19 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+_held: dict = {}
+
+
+def held(key=None, make=None):
+    """What this Python worker keeps from task to task: make(), once, while tasks ask for the same key. Tasks of
+    another operator begin with held(), so a reused worker never has the memory of two."""
+    if key not in _held:
+        _held.clear()
+        if make:
+            _held[key] = make()
+    return _held.get(key)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows it small enough, else df: Spark then shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

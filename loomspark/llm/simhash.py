@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, small
+from .common import cut, drop, held, small
 from .components import components
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
@@ -108,6 +108,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     @F.pandas_udf("bigint")
     def of(texts: pd.Series) -> pd.Series:
+        held()
         return pd.Series([simhash(t, words) for t in texts], dtype="int64")
 
     return docs.select("doc_id", of("text").alias("fp"))
@@ -255,6 +256,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("whole bigint, pieces array<bigint>, least array<bigint>, n int")
     def sketched(texts: pd.Series) -> pd.DataFrame:
+        held()
         return pd.DataFrame([sketch(t) for t in texts], columns=["whole", "pieces", "least", "n"])
 
     @F.pandas_udf("double")

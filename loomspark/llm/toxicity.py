@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Labelled rows that are drawn to learn from, at most: those with the smallest md5 of their doc_id.
 SAMPLE_ROWS = 6000
 #: Terms of the index at most, examples of one block, neighbours that vote.
@@ -166,6 +168,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.nda
     probe = Index(terms, np.ones(len(terms)), [], 0.0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held()
         found, n = Counter(), 0
         for pdf in batches:
             n += len(pdf)
@@ -206,6 +209,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
     def of(texts: pd.Series) -> pd.DataFrame:
+        held()
         model = shared.value
         found = [model.score(t or "") for t in texts]
         near = [[{"doc_id": int(model.ids[p]), "cosine": float(c), "label": int(model.labels[p])} for p, c in zip(ps, cs)] for _, ps, cs in found]

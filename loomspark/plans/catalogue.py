@@ -11,7 +11,7 @@ from loomspark.functions.vectors import add, next_power_of_two, squared_distance
 from loomspark.operators import cooccur, graph, kmeans, langmodel, linalg, ngrams, oplog, prefix, ratings, search
 from loomspark.sources import files, points, text
 from loomspark.sources.scratch import new_path, written
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
 
 from . import sql
 
@@ -30,12 +30,12 @@ def query(oracle: str | None = None):
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.lines_of(table(spark, sf_dir, "documents"))
+    return ngrams.lines_of(spread(table(spark, sf_dir, "documents").select("text")))
 
 
 def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with their language and source as hashtags."""
-    docs = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"), "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("text", "lang", "source")).select(F.explode(F.split("text", "\n")).alias("line"), "lang", "source")
     return docs.select(F.concat("line", F.lit(" #"), "lang", F.lit(" #"), "source").alias("value"))
 
 

@@ -22,3 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """`<sf_dir>/<name>.parquet`, through Spark's reader, so any store Spark can open will do."""
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of input per core below which a few row groups may hold everything.
+SMALL_PER_CORE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt over all cores before costly work on its rows: Parquet can't split a row group, so a small
+    file would keep one core busy. Larger inputs have row groups enough and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL_PER_CORE * cores else df

@@ -217,6 +217,67 @@ def sketch(text: str | None) -> tuple[int, list[int], list[int], int]:
     return int(whole.view(np.int64)[0]), kept.view(np.int64).tolist(), least[:LEAST_HASHES].view(np.int64).tolist(), len(least)
 
 
+def lowest(text: str | None) -> list[int]:
+    """The smallest 3 of 10 of a text's shingle hashes, one more than a fifth of them at least: a text that is 0.8
+    or more like this one lacks a fifth of the shingles at most, so it has all of these but a fifth of n."""
+    found = shingle_hashes(text)
+    return found[: max(-(-3 * len(found) // 10), len(found) // 5 + 1)].view(np.int64).tolist()
+
+
+def open_texts(classes: DataFrame) -> DataFrame:
+    """The doc_ids of classes (doc_id, n, low) that may have a near copy: so many of their lowest shingles are in
+    another text too. No text with a near copy is left out."""
+    low = classes.select("doc_id", "n", F.explode("low").alias("sh"))
+    shared = cut(low.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sh"))
+    hits = low.join(small(shared), "sh", "left_semi").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
+    ids = cut(hits.where("hits >= greatest((3 * n + 9) div 10, n div 5 + 1) - n div 5").select("doc_id").distinct())
+    drop(shared)
+    return ids
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, weight, sh): of each of `texts` (doc_id, text_hash, sh: every shingle) the rarest n // 5 + 1
+    shingles, those of one text alone left out. Two texts that are 0.8 or more alike share one of theirs, as all order
+    shingles alike. The weight says how much a text has in common with all others."""
+    counts = texts.groupBy("sh").agg(F.count(F.lit(1)).alias("c"))
+    sizes = texts.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    common = texts.join(counts.where("c > 1"), "sh").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("c", "sh"))).alias("s"), F.sum("c").alias("weight"))
+    first = common.join(sizes, ["doc_id", "text_hash"]).withColumn("few", F.expr("n div 5 + 1 - (n - size(s))")).where("few > 0")
+    return first.select("doc_id", "n", "weight", F.explode(F.expr("slice(s, 1, int(few)).sh")).alias("sh"))
+
+
+def connect(keyed: DataFrame, links: DataFrame, verify) -> DataFrame:
+    """(node, root) of the links (a, b) and of all links that verify() confirms between texts that share a key in
+    keyed (doc_id, n, weight, sh).
+
+    In each round every key whose texts are not all connected gives pivots, those with most in common with the
+    others first, one, then two, four and so on; a pivot is compared with every text of the key that is not connected
+    to it. That ends when each key's texts are connected or each of them was a pivot, so no link between two
+    components is missed. Near copies of one text take a round or two, without pairing them all."""
+    done = tested = None
+    step = 0
+    while True:
+        roots = components(links)
+        now = keyed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        apart = now.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
+        now = cut(now.join(apart, "sh", "left_semi"))
+        fresh = now if done is None else now.join(done, ["sh", "doc_id", "n"], "left_anti")
+        best = fresh.groupBy("sh", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.lit(1 << step)).alias("share")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc_id", "n", "root")).alias("p"))
+        pivots = cut(best.select("sh", "p.doc_id", "p.n", "p.root"))
+        if pivots.isEmpty():
+            return roots
+        met = pivots.select("sh", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(now, "sh")
+        met = met.where((F.col("rx") != F.col("root")) & (F.least("nx", "n") >= SIMILAR * F.greatest("nx", "n") - 1e-6))
+        pairs = met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        marks = pivots.select("sh", "doc_id", "n")
+        done = marks if done is None else done.unionByName(marks)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = cut(links.unionByName(verify(pairs)))
+        drop(now)
+        step += 1
+
+
 def likely_pairs(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of the texts `doc_id` in classes (doc_id, whole, pieces, least, n) that may be alike enough to
     verify.
@@ -251,13 +312,19 @@ def likely_pairs(classes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, root) of every row with a doc_id: root is the smallest doc_id of its group of exact and
     near copies. Texts are linked if the Jaccard similarity of their sets of 5-word shingles (words between
-    white space, A-Z in lower case) is 0.8 or more, verified exactly on the whole texts; candidates come from
-    fuzzy hashing (see sketch and likely_pairs). Equal texts, also all without words, are one text."""
+    white space, A-Z in lower case) is 0.8 or more, verified exactly on the whole texts. Most links are found by
+    fuzzy hashing (see sketch and likely_pairs); what it misses, by the shingles themselves (see open_texts, prefixes
+    and connect), so that no link is. Equal texts, also all without words, are one text."""
 
-    @F.pandas_udf("whole bigint, pieces array<bigint>, least array<bigint>, n int")
+    @F.pandas_udf("whole bigint, pieces array<bigint>, least array<bigint>, n int, low array<bigint>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         held()
-        return pd.DataFrame([sketch(t) for t in texts], columns=["whole", "pieces", "least", "n"])
+        return pd.DataFrame([(*sketch(t), lowest(t)) for t in texts], columns=["whole", "pieces", "least", "n", "low"])
+
+    @F.pandas_udf("array<bigint>")
+    def shingled(texts: pd.Series) -> pd.Series:
+        held()
+        return pd.Series([shingle_hashes(t).view(np.int64).tolist() for t in texts])
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -270,17 +337,26 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.select("doc_id", F.md5("text").alias("text_hash"), "text")
     prints = cut(hashed.select("doc_id", "text_hash", sketched("text").alias("s")).select("doc_id", "text_hash", "s.*"))
-    classes = cut(prints.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("whole", "pieces", "least", "n")).alias("s")).select("text_hash", "doc_id", "s.*"))
+    classes = cut(prints.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("whole", "pieces", "least", "n", "low")).alias("s")).select("text_hash", "doc_id", "s.*"))
     # a doc_id that stands for several texts has all their pieces; each of its texts is then compared
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return hashed.join(small(cut(ids)), "doc_id", "left_semi").join(classes.select("text_hash", "doc_id").hint("merge"), ["text_hash", "doc_id"], "left_semi")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).select("doc_id", "text")
+        left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        return pairs.join(left, "a").join(right, "b").withColumn("j", jaccard("ta", "tb")).where(F.col("j") >= SIMILAR - 1e-9).select("a", "b")
+
     pairs = likely_pairs(classes)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = hashed.join(small(cut(ids)), "doc_id", "left_semi").join(classes.select("text_hash", "doc_id").hint("merge"), ["text_hash", "doc_id"], "left_semi").select("doc_id", "text")
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    alike = pairs.join(left, "a").join(right, "b").withColumn("j", jaccard("ta", "tb")).where(F.col("j") >= SIMILAR - 1e-9).select("a", "b")
-    roots = components(alike).withColumnsRenamed({"node": "doc_id"})
+    links = cut(verified(pairs))
+    whole = texts_of(open_texts(classes)).select("doc_id", "text_hash", F.explode(shingled("text")).alias("sh")).distinct()
+    whole = cut(whole)
+    keyed = cut(prefixes(whole))
+    drop(whole)
+    roots = connect(keyed, links, verified).withColumnsRenamed({"node": "doc_id"})
     named = classes.select("text_hash", "doc_id").join(roots, "doc_id", "left").select("text_hash", F.coalesce("root", "doc_id").alias("root"))
     found = cut(prints.select("doc_id", "text_hash").join(named, "text_hash"))
-    drop(prints, classes, pairs)
+    drop(prints, classes, pairs, keyed)
     return found
 
 

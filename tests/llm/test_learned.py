@@ -377,6 +377,40 @@ def test_near_copies(spark):
     assert np.mean([got[a] == got[b] for a, b in links]) > 0.97 and len(links) > 80
 
 
+def brute_roots(rows):
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def test_large_groups_without_their_original_first(spark):
+    r = random.Random(11)
+    rows = []
+    for g in range(3):  # the original in the middle, copies less alike than 0.8 to each other
+        t = prose(r, 400, WORDS)
+        rows += [(1000 * g + k, t if k == 30 else edited(r, t, 7)) for k in range(60)]
+    w = prose(r, 300, WORDS).split()
+    for k in range(50):  # a chain of drifting versions, out of order
+        rows.append((5000 + 17 * k % 50, " ".join(w)))
+        for _ in range(4):
+            w[r.randrange(300)] = f"drift{r.randrange(10**6)}"
+    passage = prose(r, 60, WORDS)
+    rows += [(9000 + j, prose(r, 100, WORDS) + " " + passage) for j in range(40)]
+    got = {x.doc_id: x.root for x in simhash.near_copies(docs(spark, rows).repartition(4)).collect()}
+    wanted = brute_roots(rows)
+    assert got == wanted and len(set(wanted.values())) < 100
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (4, ""), (5, "other words here")]
     df = docs(spark, rows).withColumn("root", F.lit(1)).withColumn("text_hash", F.lit(1))

@@ -375,3 +375,10 @@ def scalar_functions(spark, sf_dir):
 def normalized_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\n")))
     return docs.select("doc_id", normalize(F.col("text")).alias("line"))
+
+
+@query(f"SELECT doc_id, pos, {sql.tokens('line').removeprefix('regexp_split_to_array(').removesuffix(", '\\s+')")} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::INT AS pos FROM documents WHERE text IS NOT NULL)")
+def normalized_document_lines(spark, sf_dir):
+    """Every line of every document; normalized_lines has only documents of one line."""
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
+    return lines.select("doc_id", "pos", normalize(F.col("value")).alias("line"))

@@ -32,6 +32,12 @@ def test_query_equals_its_sql(spark, db, name):
     assert rows(got) == rows(wanted)
 
 
+def test_normalized_lines_of_all_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None}
+    got = catalogue.QUERIES["normalized_document_lines"](spark, SF).select("doc_id", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted((i, p) for i, t in texts.items() for p in range(t.count("\n") + 1)) and len(got) > len(texts)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["ngram", "freq"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

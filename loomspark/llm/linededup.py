@@ -14,25 +14,25 @@ def hash60(x: Column) -> Column:
 
 
 def winnowed_lines(docs: DataFrame, long_line: int) -> DataFrame:
-    """(doc_id, text_hash, pos, side, g, beside): the fingerprints of every text's lines.
+    """(doc_id, text_hash, pos, other, side, g, beside): the fingerprints of every text's lines.
 
     Of each window of two neighbouring lines the smaller line hash is selected, the right one of equals; the
-    fingerprint keeps on which side of it the other line stands and that line's hash, so it says how far the
-    match extends until the next selected line takes over. A line of `long_line` words is a window by itself,
-    and so is the only line of a text. Blank lines end a run and are never selected."""
+    fingerprint keeps on which side of it the other line stands, where, and that line's hash, so it says how far
+    the match extends until the next selected line takes over. A line of `long_line` words is a window by itself,
+    and so is the only line of a text. Blank lines are passed over: the lines before and after them are neighbours."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("l"))
-    lines = lines.withColumn("h", F.transform("l", lambda x: F.when(F.regexp_count(x, F.lit(r"\S")) > 0, hash60(x))))
-    lines = lines.withColumn("long", F.transform("l", lambda x: F.regexp_count(x, F.lit(r"\S+")) >= long_line)).drop("l")
-    pairs = F.expr("""transform(filter(sequence(0, size(h) - 1), i -> h[i] is not null and get(h, i + 1) is not null), i ->
-        if(h[i] < h[i + 1], named_struct('pos', i, 'side', 1, 'g', h[i], 'beside', h[i + 1]), named_struct('pos', i + 1, 'side', -1, 'g', h[i + 1], 'beside', h[i])))""")
-    alone = F.expr("transform(filter(sequence(0, size(h) - 1), i -> h[i] is not null and (long[i] or size(h) = 1)), i -> named_struct('pos', i, 'side', 0, 'g', h[i], 'beside', if(long[i], 0L, 1L)))")
+    lines = lines.withColumn("l", F.filter(F.transform("l", lambda x, i: F.struct(i.alias("pos"), F.when(F.regexp_count(x, F.lit(r"\S")) > 0, hash60(x)).alias("h"), (F.regexp_count(x, F.lit(r"\S+")) >= long_line).alias("long"))), lambda x: x["h"].isNotNull()))
+    pairs = F.expr("""transform(filter(transform(l, (x, i) -> struct(x, get(l, i + 1) as y)), z -> z.y is not null), z ->
+        if(z.x.h < z.y.h, named_struct('pos', z.x.pos, 'other', z.y.pos, 'side', 1, 'g', z.x.h, 'beside', z.y.h), named_struct('pos', z.y.pos, 'other', z.x.pos, 'side', -1, 'g', z.y.h, 'beside', z.x.h)))""")
+    alone = F.expr("transform(filter(l, x -> x.long or size(l) = 1), x -> named_struct('pos', x.pos, 'other', x.pos, 'side', 0, 'g', x.h, 'beside', if(x.long, 0L, 1L)))")
     return lines.select("doc_id", "text_hash", F.explode(F.concat(pairs, alone)).alias("f")).select("doc_id", "text_hash", "f.*")
 
 
 def repeated_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
     """(doc_id, text_hash, pos) of the lines in later copies of a run of lines; pos counts from 0.
 
-    A run is two lines or more, or one of `long_line` words or more, or the only line of a text. Equal
+    A run is two lines or more, or one of `long_line` words or more, or the only line of a text. Blank lines don't
+    count; those between two lines of a later copy are returned with them. Equal
     fingerprints are joined to the first of their places in the order (doc_id, text_hash, pos): one partner
     each, so the join's output is no larger than its input, however often a line occurs. A match covers the
     selected line and the one beside it; matches of neighbouring windows chain into the whole run, as every
@@ -42,7 +42,7 @@ def repeated_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
     key = ["side", "g", "beside"]
     firsts = prints.groupBy(key).agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.max(F.struct("doc_id", "text_hash", "pos")).alias("last")).where("first != last").drop("last")
     later = prints.join(firsts, key).where("struct(doc_id, text_hash, pos) != first")
-    return later.select("doc_id", "text_hash", F.explode(F.array_distinct(F.array("pos", F.col("pos") + F.col("side")))).alias("pos"))
+    return later.select("doc_id", "text_hash", F.explode(F.sequence("pos", "other")).alias("pos"))
 
 
 def dedup_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
@@ -50,7 +50,7 @@ def dedup_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
 
     Adds n_lines (lines before) and n_deleted (bigint); columns of these names are replaced, all others stay,
     every row stays. Rows with a null text or doc_id stay as they are (0 deleted; 0 lines for a null text);
-    an empty text is one blank line, which is never deleted; a text whose lines are all deleted becomes empty.
+    a blank line is deleted only inside a run, an empty text (one blank line) never; a text whose lines are all deleted becomes empty.
     Repeated rows, equal in id and text, are treated alike: neither counts as the other's copy."""
     gone = repeated_lines(docs, long_line).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__loom_gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__loom_id", "text_hash": "__loom_hash"})

@@ -141,6 +141,37 @@ def test_line_runs(spark):
     assert got[2] == "x\ny" and got[3] == "a\nq\nd" and got[6] == "z" and got[8] == "" and got[12] == "" and got[10] == "\n\n"
 
 
+def brute_passages(rows, long_line=50):
+    """Windows over the lines that aren't blank; blank lines between two lines of a later window go with them."""
+    seen, gone = set(), {}
+    for i, t in sorted(rows):
+        full = [(p, x) for p, x in enumerate(t.split("\n")) if x.strip()]
+        gone[i] = set()
+        for k, (p, x) in enumerate(full):
+            units = [((x, full[k + 1][1]), range(p, full[k + 1][0] + 1))] if k + 1 < len(full) else []
+            if len(x.split()) >= long_line:
+                units.append(((x,), [p]))
+            elif len(full) == 1:
+                units.append(((x, None, None), [p]))
+            for key, at in units:
+                if key in seen:
+                    gone[i].update(at)
+                seen.add(key)
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in rows}
+
+
+def test_passages_with_blank_lines(spark):
+    import random
+
+    r = random.Random(9)
+    passage = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(3)]
+    rows = [(1, "\n\n".join(["one", *passage, "end"])), (2, "\n\n".join(["two", *passage, "stop"])), (3, "\n \n\n".join(passage)), (4, "only\n"), (5, "\nonly"), (6, "\n\n"), (7, "\n\n")]
+    rows += [(10 + i, "\n".join(r.choice(["", " ", *"abcdefg"]) for _ in range(r.randrange(1, 14)))) for i in range(60)]
+    got = {x.doc_id: x.text for x in dedup_lines(docs(spark, rows).repartition(3)).collect()}
+    assert got == brute_passages(rows)
+    assert got[2] == "two\n\n\nstop" and got[3] == "" and got[5] == "" and got[7] == "\n\n"
+
+
 def test_line_edges(spark):
     rows = [(None, "a\nb"), (1, None), (2, "a\nb"), (2, "a\nb"), (3, "a\nb")]
     df = docs(spark, rows).withColumn("n_lines", F.lit("mine")).withColumn("pos", F.lit(1)).withColumn("first", F.lit(1))

@@ -5,54 +5,64 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import held
 
-#: Labelled rows that are drawn to learn from, at most: those with the smallest md5 of their doc_id.
-SAMPLE_ROWS = 6000
-#: Terms of the index at most, examples of one block, neighbours that vote.
-TERMS, BLOCK, NEIGHBOURS = 1024, 64, 15
-PREFIXES = (4, 5, 6)
-WORD = re.compile(r"[^\W\d_]+")
-#: Words of which a worker remembers which terms they are.
-KEPT_WORDS = 50_000
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> list:
-    """Up to `rows` rows (doc_id, text, label) of the labelled documents, by the smallest md5 of doc_id. Only the
-    labels are sorted; the sample, bounded by `rows`, is broadcast to the one scan of docs."""
+#: Labelled rows that are drawn to learn from, at most: those with the smallest md5 of their doc_id; and the bytes of
+#: their texts, in that order, at most. Both bounds hold for the fit alone: every row of docs is counted and scored.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
+#: Examples of one block, neighbours that vote.
+BLOCK, NEIGHBOURS = 64, 25
+#: A term that the label favours weighs more, by 1 for each so much of its G statistic beyond chance.
+TELLING = 4.0
+#: In calibration an example's neighbours nearer than this count as its copies and don't vote.
+COPY = 0.9
+#: Letters of a word's stem, a term of its own in longer words.
+STEM = 5
+# The same runs of letters and of numbers that aren't decimal digits, here and in Spark.
+WORD, NO_WORD = re.compile(r"[^\W\d_]+"), r"[^\p{L}\p{Nl}\p{No}]+"
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list:
+    """Up to `rows` rows (doc_id, text, label) of the labelled documents, by the smallest md5 of doc_id, of whose
+    texts the first `size` bytes count: a text that goes beyond that is left out. Of rows that share a doc_id the
+    smallest text stands for it. Only the labels are sorted; the sample is broadcast to the one scan of docs, and
+    only the sampled texts are put in order."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    drawn = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
+    drawn = known.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place", "doc_id").limit(rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    return sorted((r.doc_id, r.text, int(r.label)) for r in found.collect())
+    one = found.groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
+    total = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = one.withColumn("total", total).where(F.col("total") <= size).select("doc_id", "text", "label")
+    return sorted((r.doc_id, r.text, int(r.label)) for r in kept.collect())
+
+
+def terms_of(word: str) -> tuple[str, ...]:
+    return (word, "^" + word[:STEM]) if len(word) > STEM else (word,)
 
 
 def term_counts(text: str) -> Counter:
-    """Occurrences of each word (a run of letters, lower-cased) and of each longer word's prefixes."""
+    """Occurrences of each word (a run of letters) of a lower-cased text and of each longer word's stem."""
     out: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
+    for word, n in Counter(WORD.findall(text)).items():
         for term in terms_of(word):
             out[term] += n
     return out
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
-
-
 def without_copies(rows: list) -> list:
     """Rows that share none of their six smallest 4-word shingle hashes with an earlier one: copies of a text would
-    make every word of it look like evidence."""
+    make every word of it look telling."""
     seen: set[int] = set()
     kept = []
     for row in rows:
-        words = row[1].lower().split()
+        words = row[1].split()
         least = sorted({zlib.crc32(" ".join(words[i : i + 4]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 3))})[:6]
         if not seen.intersection(least):
             kept.append(row)
@@ -60,90 +70,115 @@ def without_copies(rows: list) -> list:
     return kept
 
 
-def telling_terms(texts: list[str], labels: np.ndarray, most: int = TERMS) -> list[str]:
-    """Terms that are in more of the positive examples than chance explains: a G test of their document frequency,
-    with a threshold that grows with the number of terms tested. One text's terms are held at a time."""
-    n, positive = len(labels), int(labels.sum())
+def telling(rows: list) -> dict[str, float]:
+    """By how much a term's weight is raised, for terms in more of the positive rows than chance explains: a G test
+    of their document frequency, less a threshold that grows with the number of terms tested. One text's terms are
+    held at a time."""
+    n, positive = len(rows), sum(y for _, _, y in rows)
     every, hits = Counter(), Counter()
-    for text, y in zip(texts, labels):
+    for _, text, y in rows:
         terms = term_counts(text).keys()
         every.update(terms)
         if y:
             hits.update(terms)
     if not 0 < positive < n:
-        return []
-    least, found = 2 * np.log(len(every)) + 6, []
+        return {}
+    least, found = 2 * np.log(len(every)) + 6, {}
     for term, o in hits.items():
         a = every[term]
         e = a * positive / n
         if o > e:
             g = 2 * (o * np.log(o / e) + ((a - o) * np.log((a - o) / (a - e)) if a > o else 0))
             if g > least:
-                found.append((-g, term))
-    return [t for _, t in sorted(found)[:most]]
+                found[term] = (g - least) / TELLING
+    return found
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places in the ranges [start, end), one after the other, and the sizes of the ranges."""
+    sizes = ends - starts
+    done = np.cumsum(sizes)
+    return np.repeat(starts - done + sizes, sizes) + np.arange(done[-1] if len(done) else 0), sizes
 
 
 class Index:
-    """Inverted lists over labelled examples with the largest weight of each block of examples, for exact search."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, Counter, int]], rate: float):
-        self.terms, self.idf, self.rate = {t: i for i, t in enumerate(terms)}, idf, rate
-        rows = [(doc_id, self.vector(c), y) for doc_id, c, y in examples]
-        rows = [r for r in rows if len(r[1][0])]
-        rows.sort(key=lambda r: (r[1][0][0], r[0]))  # examples of one leading term share blocks: sharper bounds
-        self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
-        blocks = -(-len(rows) // BLOCK)
-        self.weights = np.zeros((len(terms), blocks * BLOCK), np.float32)
-        for k, (_, (at, w), _) in enumerate(rows):
-            self.weights[at, k] = w
-        self.most = self.weights.reshape(len(terms), blocks, BLOCK).max(2)
+    """Inverted lists over all terms of the labelled examples, cut into blocks of examples; each list keeps its
+    largest weight in every block that it reaches, for exact search that passes over blocks."""
+
+    def __init__(self, weights: dict[str, float], examples: list[tuple[int, dict, int]], rate: float):
+        """weights: the idf of each term, raised for telling ones. examples: (doc_id, counts of terms, label)."""
+        self.terms, self.idf, self.rate = {t: i for i, t in enumerate(weights)}, np.array([*weights.values()], np.float64), rate
+        rows = [(doc_id, *self.vector({self.terms[t]: n for t, n in c.items() if t in self.terms}), y) for doc_id, c, y in examples]
+        # examples with the same most common terms, so of one language, share blocks: sharper bounds
+        rows.sort(key=lambda r: (*r[1][np.argsort(self.idf[r[1]], kind="stable")[:3]].tolist(), r[0]))
+        self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        self.blocks = -(-len(rows) // BLOCK)
+        sizes = [len(r[1]) for r in rows]
+        term = np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)])
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        self.example = np.repeat(np.arange(len(rows)), sizes)[order]
+        self.weight = np.concatenate([r[2] for r in rows] or [np.zeros(0)])[order]
+        # a section is the part of a term's list in one block
+        where = term * max(1, self.blocks) + self.example // BLOCK
+        begins = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+        self.sections = np.append(begins, len(where)).astype(np.int32)
+        self.block = self.example[begins] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, begins) if len(where) else self.weight
+        self.lists = np.searchsorted(term[begins], np.arange(len(self.terms) + 1)).astype(np.int32)
         self.slope, self.offset = 1.0, 0.0
-        self.seen: dict[str, tuple[int, ...]] = {}
 
-    def vector(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of the index's terms: (1 + ln tf) idf, of length 1."""
-        hit = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        at = np.array([i for i, _ in hit], np.int64)
-        w = (1 + np.log(np.array([n for _, n in hit], np.float64))) * self.idf[at] if hit else np.zeros(0)
-        return at, w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def counts(self, text: str) -> dict[str, int]:
-        """Of the index's own terms only."""
-        out: dict[str, int] = {}
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            if (found := self.seen.get(word)) is None:
-                if len(self.seen) >= KEPT_WORDS:
-                    self.seen.clear()
-                found = self.seen[word] = tuple(t for t in terms_of(word) if t in self.terms)
-            for t in found:
+        at = np.fromiter(counts.keys(), np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
+        return at, w / (np.sqrt(w @ w) or 1.0)
+
+    def counts(self, text: str) -> dict[int, int]:
+        """Of the index's own terms, by their places."""
+        out: dict[int, int] = {}
+        place = self.terms.get
+        for word, n in Counter(WORD.findall(text)).items():
+            if (t := place(word)) is not None:
+                out[t] = n
+            if len(word) > STEM and (t := place("^" + word[:STEM])) is not None:
                 out[t] = out.get(t, 0) + n
         return out
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0: blocks are scored in the order of
-        their bounds until no block left can hold a nearer one. Exact; of equals the first in the index."""
-        if not len(at) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[at]
-        places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(places) == k and bound[b] < least - 1e-6):
-                break
-            s = w @ self.weights[at, b * BLOCK : (b + 1) * BLOCK]
-            p = np.flatnonzero(s > 0) + b * BLOCK
-            s = s[p - b * BLOCK]
-            if without is not None:
-                s, p = s[p != without], p[p != without]
-            places, cosines = np.concatenate([places, p]), np.concatenate([cosines, s])
-            order = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[order], cosines[order]
-            least = cosines[-1] if len(cosines) else 0.0
-        return places, cosines
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, below: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a cosine above 0 (and not above `below`), exact; of
+        equals the smaller doc_id first. Blocks are scored in the order of their bounds, the four best, then four
+        times as many and so on, until no block left can hold a nearer one."""
+        lists, sizes = spread(self.lists[at], self.lists[at + 1])
+        block, each = self.block[lists], np.repeat(w, sizes)
+        bound = np.bincount(block, each * self.most[lists], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        places, cosines, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while done < len(order):
+            now = order[done : done + step]
+            if len(places) == k:
+                now = now[bound[now] >= cosines[-1] - 1e-6]
+                if not len(now):
+                    break
+            done, step = done + len(now), 4 * step
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            mine = np.flatnonzero(chosen[block])
+            of, n = spread(self.sections[lists[mine]], self.sections[lists[mine] + 1])
+            s = np.bincount(self.example[of], np.repeat(each[mine], n) * self.weight[of], minlength=len(self.ids))
+            p = np.flatnonzero(s > (cosines[-1] - 1e-9 if len(places) == k else 0))
+            if below is not None:
+                p = p[s[p] <= below]
+            places, cosines = np.concatenate([places, p]), np.concatenate([cosines, s[p]])
+            best = np.lexsort((self.ids[places], -cosines))[:k]
+            places, cosines = places[best], cosines[best]
+        return places, np.minimum(cosines, 1.0)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the positive examples, each weighted by the inverse of its distance, drawn to the base rate."""
-        w = cosines / (1.05 - np.minimum(cosines, 1.0))
-        return float(((w * self.labels[places]).sum() + self.rate) / (w.sum() + 1.0))
+        w = cosines / (1.05 - cosines)
+        return float(((w * self.labels[places]).sum() + 0.1 * self.rate) / (w.sum() + 0.1))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Platt scaling of votes that left their own example out."""
@@ -160,42 +195,41 @@ class Index:
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         places, cosines = self.nearest(*self.vector(self.counts(text)))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.vote(places, cosines) + self.offset, -30, 30))), places, cosines
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(places, cosines) + self.offset, -30, 30)))), places, cosines
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """The number of docs and of those that hold each term, over every whole text. Each task returns one row a term."""
-    probe = Index(terms, np.ones(len(terms)), [], 0.0)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held()
-        found, n = Counter(), 0
-        for pdf in batches:
-            n += len(pdf)
-            for text in pdf["text"]:
-                found.update(probe.counts(text).keys())
-        yield pd.DataFrame({"term": ["", *found], "n": [n, *found.values()]})
-
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    got = {r.term: r.n for r in texts.mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return got.get("", 0), np.array([got.get(t, 0) for t in terms], np.float64)
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Index:
-    """An index over a bounded sample of the labelled documents (see labelled_sample), with document frequencies
-    of all of docs. Without labels of both kinds it has no examples and every score is the base rate."""
-    sample = without_copies(labelled_sample(docs, labels, label, rows))
+    """The number of docs and of those that hold each term, over every whole text. Terms meet by their XXH64; only
+    those asked for are counted, so what is broadcast and what comes back is bounded by the sample they are from."""
+    spark = docs.sparkSession
+    hashes = np.array([xxh64_intdigest(t.encode("utf-8", "replace"), 42) for t in terms], np.uint64).view(np.int64)
+    names = np.unique(hashes)
+    asked = spark.createDataFrame(pa.table({"term": pa.array(names)}))
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), NO_WORD), lambda x: x != "")
+    stems = F.transform(F.filter("w", lambda x: F.length(x) > STEM), lambda x: F.xxhash64(F.concat(F.lit("^"), F.substring(x, 1, STEM))))
+    held_terms = docs.select(F.array_distinct(words).alias("w")).select(F.explode(F.array_distinct(F.concat(F.transform("w", lambda x: F.xxhash64(x)), stems))).alias("term"))
+    found = held_terms.join(F.broadcast(asked), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    n = np.zeros(len(names))
+    n[np.searchsorted(names, found["term"].to_numpy())] = found["n"].to_numpy()
+    return docs.count(), n[np.searchsorted(names, hashes)] if len(names) else n
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, raised: bool = True) -> Index:
+    """An index over a bounded sample of the labelled documents (see labelled_sample) and all of its terms, with
+    document frequencies over all of docs. A term's weight is its idf, raised for terms that the label favours
+    (see telling; not with raised=False). Without labels every score is 0, with those of one kind near their rate."""
+    lowered = docs.select("doc_id", F.lower("text").alias("text"))
+    sample = labelled_sample(lowered, labels, label, rows)
     y = np.array([r[2] for r in sample], np.float64)
-    terms = telling_terms([text for _, text, _ in sample], y)
+    counts = [term_counts(text) for _, text, _ in sample]
+    terms = sorted(set().union(*counts))
+    more = telling(without_copies(sample)) if raised else {}
     n, df = document_frequencies(docs, terms) if terms else (0, np.zeros(0))
+    idf = np.log((1 + n) / (1 + df)) + 1e-3
     rate = float(y.mean()) if len(y) else 0.0
-    probe = Index(terms, np.ones(len(terms)), [], 0.0)
-    counts = [probe.counts(text) for _, text, _ in sample]
-    index = Index(terms, np.log((1 + n) / (1 + df)) + 1e-3, [(i, c, int(v)) for (i, _, v), c in zip(sample, counts)], rate)
-    if terms:
-        own = {int(i): k for k, i in enumerate(index.ids)}
-        near = [index.nearest(*index.vector(c), without=own.get(i)) for (i, _, _), c in zip(sample, counts)]
-        index.calibrate(np.array([index.vote(*x) for x in near]), y)
+    index = Index({t: w * (1 + more.get(t, 0)) for t, w in zip(terms, idf.tolist())}, [(i, c, v) for (i, _, v), c in zip(sample, counts)], rate)
+    if 0 < rate < 1:
+        index.calibrate(np.array([index.vote(*index.nearest(*index.vector(index.counts(t)), below=COPY)) for _, t, _ in sample]), y)
     else:
         index.slope, index.offset = 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     return index
@@ -203,16 +237,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """docs with `score` (the calibrated probability) and `evidence`, the nearest labelled examples with their
-    cosines and labels; columns of these names are replaced, all others stay. Every whole text is scored by
-    itself; a null or empty text, and one without any of the index's terms, gets the score of no evidence."""
+    cosines and labels, nearest first; columns of these names are replaced, all others and all rows stay, repeated
+    ones too. Every whole text is scored by itself; a null or empty text, and one without any of the index's
+    terms, gets the score of no evidence. An empty table stays empty. Terms that no example has carry no weight."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    evidence = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
-    @F.pandas_udf("score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
+    def of(texts: pa.Array) -> pa.Array:
         held()
         model = shared.value
-        found = [model.score(t or "") for t in texts]
-        near = [[{"doc_id": int(model.ids[p]), "cosine": float(c), "label": int(model.labels[p])} for p, c in zip(ps, cs)] for _, ps, cs in found]
-        return pd.DataFrame({"score": [float(s) for s, _, _ in found], "evidence": near})
+        found = [model.score(t or "") for t in texts.to_pylist()]
+        places = np.concatenate([p for _, p, _ in found] or [np.zeros(0, np.int64)])
+        near = pa.StructArray.from_arrays([pa.array(model.ids[places]), pa.array(np.concatenate([c for _, _, c in found] or [np.zeros(0)])), pa.array(model.labels[places].astype(np.int32))], fields=list(evidence))
+        offsets = np.concatenate([[0], np.cumsum([len(p) for _, p, _ in found], dtype=np.int64)]).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array([s for s, _, _ in found], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), near)], names=["score", "evidence"])
 
-    return docs.drop("score", "evidence").withColumn("__loom_scored", of("text")).select("*", "__loom_scored.score", "__loom_scored.evidence").drop("__loom_scored")
+    return docs.drop("score", "evidence").withColumn("__loom_scored", of(F.lower("text"))).select("*", "__loom_scored.score", "__loom_scored.evidence").drop("__loom_scored")

@@ -103,40 +103,66 @@ def labelled(spark, n=500):
 def test_toxicity(spark):
     df, labels, texts, y = labelled(spark)
     index = toxicity.fit(df, labels.where("doc_id < 400"))
-    assert "vileword" in index.terms and "^foul" in index.terms
+    assert index.idf[index.terms["vileword"]] > 5 * index.idf[index.terms[texts[0].split()[0]]] and "^foule" in index.terms
+    assert set(index.terms) == {t for i in range(400) for t in toxicity.term_counts(texts[i])} and len(index.ids) == 400
     got = {r.doc_id: r for r in toxicity.score(df.withColumn("score", F.lit(9)).withColumn("evidence", F.lit(9)), index).collect()}
     held = range(400, 500)
     assert np.mean([(got[i].score >= 0.7) == y[i] for i in held]) > 0.97
-    assert all(e.label == 1 and texts[e.doc_id] and 0 < e.cosine <= 1.0001 for e in got[400].evidence)
+    assert all(e.label == y[e.doc_id] and 0 < e.cosine <= 1.0001 for e in got[401].evidence) and got[400].evidence[0].label == 1
     assert max(got[i].score for i in held if not y[i]) < 0.3
+    assert len({tuple(e.doc_id for e in got[i].evidence) for i in held}) == 100  # each text has evidence of its own
+
+
+def brute_cosines(index, text):
+    """Cosines with every example over full vectors, by the examples' places."""
+    vector = lambda c: {t: (1 + np.log(n)) * index.idf[index.terms[t]] for t, n in c.items() if t in index.terms}
+    q = vector(toxicity.term_counts(text))
+    out = []
+    for c in index.examples:
+        v = vector(c)
+        norm = np.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in q.values()))
+        out.append(sum(x * v.get(t, 0.0) for t, x in q.items()) / (norm or 1.0))
+    return np.array(out)
+
+
+def hold_against_brute_force(index, counts, texts):
+    index.examples = [counts[int(i)] for i in index.ids]
+    for text in texts:
+        every = brute_cosines(index, text)
+        places, cosines = index.nearest(*index.vector(index.counts(text)))
+        best = np.sort(every[every > 0])[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose(cosines, best, atol=1e-9) and np.allclose(every[places], cosines, atol=1e-9) and len(set(places.tolist())) == len(places)
 
 
-def test_search_is_exact(spark):
-    r = np.random.default_rng(0)
-    terms = [f"t{k}" for k in range(30)]
-    examples = [(i, {t: int(r.integers(1, 4)) for t in r.choice(terms, 4, replace=False)}, int(r.integers(0, 2))) for i in range(500)]
-    index = toxicity.Index(terms, r.random(30) + 0.1, examples, 0.1)
-    by = {i: index.vector(c) for i, c, _ in examples}
-    for _ in range(40):
-        at, w = index.vector({t: 1 for t in r.choice(terms, r.integers(1, 6), replace=False)})
-        q = np.zeros(30)
-        q[at] = w
-        every = []
-        for k, i in enumerate(index.ids):
-            v = np.zeros(30, np.float32)
-            v[by[int(i)][0]] = by[int(i)][1]
-            every.append(q @ v)
-        every = np.array(every)
-        places, cosines = index.nearest(at, w)
-        best = np.sort(every[every > 0])[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose(cosines, best, atol=1e-6)
+def test_search_is_exact(monkeypatch):
+    r = random.Random(0)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    vocabulary = WORDS[:150]
+    texts = {i: " ".join(r.choices(vocabulary, range(1, 151), k=r.randrange(1, 30))) for i in range(500)}
+    texts |= {500: "", 501: texts[3], 502: texts[3]}
+    counts = {i: toxicity.term_counts(t) for i, t in texts.items()}
+    index = toxicity.Index({t: r.random() + 0.1 for t in sorted(set().union(*counts.values()))}, [(i, c, r.randrange(2)) for i, c in counts.items()], 0.1)
+    hold_against_brute_force(index, counts, [*r.sample([*texts.values()], 60), "", "unknown words", texts[3]])
 
 
 def test_document_frequencies_cover_all(spark):
     df, _, texts, _ = labelled(spark, 120)
-    n, found = toxicity.document_frequencies(df.repartition(5), ["vileword", "^foul"])
-    assert n == 120
-    assert found.tolist() == [sum("vileword" in t.split() for t in texts.values()), sum(any(w.startswith("foul") for w in t.split()) for t in texts.values())]
+    odd = ["İstanbul Straße ª²x_y 12ab3cd", "ǅungla ΣΑΣ vileword vileword", None]
+    df = df.unionByName(docs(spark, [(1000 + k, t) for k, t in enumerate(odd)]))
+    lowered = [r.t or "" for r in df.select(F.lower("text").alias("t")).collect()]
+    every = [set(toxicity.term_counts(t)) for t in lowered]
+    terms = sorted(set().union(*every)) + ["absent"]
+    n, found = toxicity.document_frequencies(df.repartition(5), terms)
+    assert n == 123 and found.tolist() == [sum(t in e for e in every) for t in terms]
+
+
+def test_sample_is_bounded(spark):
+    df = docs(spark, [(i, "é" * 50) for i in range(20)] + [(3, "a"), (None, "x"), (30, None)])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(5, None)], "doc_id bigint, toxic int")
+    got = toxicity.labelled_sample(df, labels, "toxic")
+    assert len(got) == 21 and dict((i, t) for i, t, _ in got)[3] == "a" and got[-1][:2] == (30, "")
+    assert len(toxicity.labelled_sample(df, labels, "toxic", rows=7)) <= 7
+    assert sum(len(t.encode()) for _, t, _ in toxicity.labelled_sample(df, labels, "toxic", size=450)) <= 450
 
 
 def test_toxicity_edges(spark):
@@ -146,6 +172,8 @@ def test_toxicity_edges(spark):
     assert len(got) == 4 and len({r.score for r in got}) == 1 and got[0].evidence == []
     assert toxicity.score(docs(spark, []), none).count() == 0
     assert toxicity.fit(docs(spark, []), labels).score("x")[0] < 0.7
+    one = toxicity.fit(df, labels.where("toxic = 1"))
+    assert one.score("any words")[0] > 0.7
 
 
 # html

@@ -54,6 +54,27 @@ def test_classifiers(spark, name, folds, out, label):
     assert np.mean([(a > b) + 0.5 * (a == b) for a, b in pairs]) > 0.85
 
 
+def test_toxicity_neighbours(spark, texts):
+    """Scores and evidence of the whole query against brute force over full vectors of all terms."""
+    from loomspark.llm import toxicity
+    from loomspark.llm.queries import fold
+
+    from .test_learned import hold_against_brute_force
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    index = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1), "toxic")
+    counts = {i: toxicity.term_counts(t.lower()) for i, t in texts}
+    more = toxicity.telling(toxicity.without_copies([(i, t.lower(), int(index.labels[list(index.ids).index(i)])) for i, t in texts if i in set(index.ids.tolist())]))
+    for term, place in index.terms.items():
+        df = sum(term in c for c in counts.values())
+        assert index.idf[place] == pytest.approx((np.log((1 + len(texts)) / (1 + df)) + 1e-3) * (1 + more.get(term, 0)))
+    hold_against_brute_force(index, counts, [t.lower() for _, t in texts])
+    got = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, SF).collect()}
+    for i, t in texts:
+        score, places, cosines = index.score(t.lower())
+        assert got[i].score == pytest.approx(score) and [e.doc_id for e in got[i].evidence] == index.ids[places].tolist() and [e.cosine for e in got[i].evidence] == pytest.approx(cosines.tolist())
+
+
 def test_main_text(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = QUERIES["op5_html_extraction"](spark, SF).collect()

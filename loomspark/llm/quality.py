@@ -11,8 +11,8 @@ from .toxicity import labelled_sample
 
 #: Labelled rows that are drawn to learn from, at most (see labelled_sample).
 SAMPLE_ROWS = 3000
-#: Bytes of a training text that one step sees, at a random place. Scoring always sees the whole text.
-TRAIN_BYTES = 3072
+#: Chunks of a text that are held at a time.
+PIECE = 4096
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 DIM, STEP, FILTERS, HALF = 8, 8, 24, 16
 
@@ -55,53 +55,69 @@ class Network:
     def score(self, text: str) -> float:
         return 1 / (1 + np.exp(-np.clip(self.logit(self.features(text.encode("utf-8", "replace"))), -30, 30)))
 
-    def features(self, text: bytes) -> np.ndarray:
-        """Of any length in bounded memory: pieces of whole half-chunks, each with the half-chunk before it."""
-        piece = 4096 * HALF * STEP
-        if len(text) <= piece:
-            return self.forward(self.blocks(text))
+    def passes(self, text: bytes):
+        """The text's blocks, in pieces of PIECE chunks at most, each with its forward pass; two neighbours share the
+        half-chunk between them, so each chunk is in one piece."""
         codes = self.blocks(text)
-        total, most, n, step = np.zeros(FILTERS), np.zeros(FILTERS), 0, 4096 * HALF
-        for at in range(0, len(codes) - 1, step):
-            lo = max(0, at - HALF)
-            part = codes[lo : min(at + step, len(codes) - 1) + 1]
-            if (len(part) - 1) // HALF < 2:
-                continue
-            f = self.forward(part)
-            k = (len(part) - 1) // HALF - 1
-            total, most, n = total + f[:FILTERS] * k, np.maximum(most, f[FILTERS:]), n + k
-        return np.concatenate([total / n, most])
+        halves = (len(codes) - 1) // HALF
+        for at in range(0, halves - 1, PIECE):
+            piece = codes[at * HALF : min(at + PIECE + 1, halves) * HALF + 1]
+            yield piece, self.forward(piece, keep=True)
+
+    @staticmethod
+    def pooled(passes) -> tuple[np.ndarray, int, np.ndarray]:
+        """Features of a whole text from its passes, its number of chunks, and in which of them each filter is
+        largest (the first of equals)."""
+        total, most, where, n = np.zeros(FILTERS), np.full(FILTERS, -1.0), np.zeros(FILTERS, np.int64), 0
+        for _, (*_, chunks) in passes:
+            best = chunks.argmax(0)
+            value = chunks[best, np.arange(FILTERS)]
+            where = np.where(value > most, best + n, where)
+            total, most, n = total + chunks.sum(0), np.maximum(most, value), n + len(chunks)
+        return np.concatenate([total / n, most]), n, where
+
+    def features(self, text: bytes) -> np.ndarray:
+        """Of any length in bounded memory."""
+        return self.pooled(self.passes(text))[0]
 
     def gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over whole texts. The passes of a long one aren't kept, but made again."""
         g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         for text, y in zip(texts, labels):
-            codes = self.blocks(text)
-            features, x, by_half, halves, chunks = self.forward(codes, keep=True)
+            kept = list(self.passes(text)) if len(text) <= PIECE * HALF * STEP else None
+            features, n, where = self.pooled(kept or self.passes(text))
             d = (1 / (1 + np.exp(-np.clip(self.logit(features), -30, 30))) - y) / len(texts)
             g["out"] += d * features
             g["base"] += d
-            d_chunks = np.broadcast_to(d * self.out[:FILTERS] / len(chunks), chunks.shape).copy()
-            d_chunks[chunks.argmax(0), np.arange(FILTERS)] += d * self.out[FILTERS:]
-            left = halves[:-1] >= halves[1:]
-            d_halves = np.zeros_like(halves)
-            d_halves[:-1] += d_chunks * left
-            d_halves[1:] += d_chunks * ~left
-            d_halves *= halves > 0
-            place = by_half.argmax(1)
-            d_conv = np.zeros_like(by_half)
-            np.put_along_axis(d_conv, place[:, None, :], d_halves[:, None, :], 1)
-            d_conv = d_conv.reshape(-1, FILTERS)
-            g["bias"] += d_halves.sum(0)
-            g["first"] += x[:-1].T @ d_conv
-            g["second"] += x[1:].T @ d_conv
-            d_x = np.zeros_like(x)
-            d_x[:-1] += d_conv @ self.first.T
-            d_x[1:] += d_conv @ self.second.T
-            d_bytes, flat = d_x.reshape(-1, DIM), codes.reshape(-1)
-            for k in range(DIM):
-                g["embed"][:, k] += np.bincount(flat, d_bytes[:, k], 256)
+            before = 0
+            for codes, (_, x, by_half, halves, chunks) in kept or self.passes(text):
+                d_chunks = np.broadcast_to(d * self.out[:FILTERS] / n, chunks.shape).copy()
+                mine = np.flatnonzero((where >= before) & (where < before + len(chunks)))
+                d_chunks[where[mine] - before, mine] += d * self.out[FILTERS + mine]
+                before += len(chunks)
+                self._backward(g, codes, x, by_half, halves, d_chunks)
         return g
 
+    def _backward(self, g: dict[str, np.ndarray], codes: np.ndarray, x: np.ndarray, by_half: np.ndarray, halves: np.ndarray, d_chunks: np.ndarray) -> None:
+        left = halves[:-1] >= halves[1:]
+        d_halves = np.zeros_like(halves)
+        d_halves[:-1] += d_chunks * left
+        d_halves[1:] += d_chunks * ~left
+        d_halves *= halves > 0
+        place = by_half.argmax(1)
+        d_conv = np.zeros_like(by_half)
+        np.put_along_axis(d_conv, place[:, None, :], d_halves[:, None, :], 1)
+        d_conv = d_conv.reshape(-1, FILTERS)
+        g["bias"] += d_halves.sum(0)
+        g["first"] += x[:-1].T @ d_conv
+        g["second"] += x[1:].T @ d_conv
+        d_x = np.zeros_like(x)
+        d_x[:-1] += d_conv @ self.first.T
+        d_x[1:] += d_conv @ self.second.T
+        d_bytes, flat = d_x.reshape(-1, DIM), codes.reshape(-1)
+        for k in range(DIM):
+            g["embed"][:, k] += np.bincount(flat, d_bytes[:, k], 256)
+
     def train(self, texts: list[bytes], labels: np.ndarray, seed: int = 0) -> "Network":
         """Adam on the log loss. The rarer label is drawn more often, up to a quarter of each epoch; the base is
         then corrected for that."""
@@ -117,8 +133,7 @@ class Network:
         steps = max(steps, 150)
         for step in range(1, steps + 1):
             batch = r.choice(len(texts), BATCH, p=p)
-            cut = [int(r.integers(0, max(1, len(texts[i]) - TRAIN_BYTES + 1))) for i in batch]
-            g = self.gradients([texts[i][c : c + TRAIN_BYTES] for i, c in zip(batch, cut)], labels[batch])
+            g = self.gradients([texts[i] for i in batch], labels[batch])
             rate = RATE * (1 - step / (steps + 1))
             for k in self.NAMES:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -129,15 +144,17 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, seed: int = 0) -> Network:
-    """A network trained on a bounded sample of the labelled documents (doc_id, text); with labels of one kind
-    only it answers with their rate, without any with 0.5."""
+    """A network trained on the whole texts of a bounded sample of the labelled documents (doc_id, text); with labels
+    of one kind only it answers with their rate, without any with 0.5."""
     sample = labelled_sample(docs, labels, label, rows)
     return Network(seed).train([t.encode("utf-8", "replace") for _, t, _ in sample], np.array([y for _, _, y in sample], np.float64), seed)
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """docs with `score`, the probability of label 1, from every byte of every text (a null text counts as empty,
-    which is scored like any other); a column of this name is replaced, all others stay."""
+    which is scored like any other); a column of this name is replaced, all others stay, and all rows: equal texts
+    have equal scores, repeated rows stay repeated, an empty table stays empty. A text of any length is read in
+    pieces of PIECE chunks."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")

@@ -31,7 +31,9 @@ WORDS = [a + b + c for a in "bdgklmnprst" for b in "aeiou" for c in ("n", "r", "
 # quality
 
 
-def test_gradients():
+@pytest.mark.parametrize("piece", [4096, 3])
+def test_gradients(monkeypatch, piece):
+    monkeypatch.setattr(quality, "PIECE", piece)  # with 3 the long text is in several pieces
     r = np.random.default_rng(0)
     net = quality.Network(1)
     net.embed, net.first, net.second = net.embed.astype(np.float64), net.first.astype(np.float64), net.second.astype(np.float64)
@@ -61,8 +63,22 @@ def test_every_byte_counts():
     text = b"a" * 40_000
     other = text[:30_000] + bytes(range(1, 200)) + text[30_199:]
     assert not np.allclose(net.features(text), net.features(other))
-    long = bytes(np.random.default_rng(1).integers(32, 127, 5000 * quality.HALF * quality.STEP, dtype=np.uint8))
-    assert np.allclose(net.features(long), net.forward(net.blocks(long)), atol=1e-4)
+    r = np.random.default_rng(1)
+    for n in (0, 1, 127, 128, 129, 4095, 4096, 4097, 4098, 5000):
+        long = bytes(r.integers(32, 127, n * quality.HALF * quality.STEP + n % 3, dtype=np.uint8))
+        assert np.allclose(net.features(long), net.forward(net.blocks(long)), atol=1e-4)
+        assert net.pooled(net.passes(long))[1] == max(2, -(-len(long) // (quality.STEP * quality.HALF))) - 1
+
+
+def slow_score(net, text):
+    """One place, filter and chunk at a time, from the definition."""
+    raw = text.encode("utf-8", "replace")
+    halves = max(2, -(-len(raw) // 128))
+    raw = raw.ljust(halves * 128 + 8, b"\0")
+    weights = np.concatenate([net.first, net.second]).astype(np.float64)
+    values = [max(0.0, *(np.concatenate([net.embed[b] for b in raw[at : at + 16]]).astype(np.float64) @ weights[:, f] + net.bias[f] for at in range(c * 128, c * 128 + 256, 8))) for c in range(halves - 1) for f in range(quality.FILTERS)]
+    values = np.array(values).reshape(-1, quality.FILTERS)
+    return 1 / (1 + np.exp(-(np.concatenate([values.mean(0), values.max(0)]) @ net.out + net.base[0])))
 
 
 def test_quality_learns(spark):

@@ -54,6 +54,21 @@ def test_classifiers(spark, name, folds, out, label):
     assert np.mean([(a > b) + 0.5 * (a == b) for a, b in pairs]) > 0.85
 
 
+def test_quality_scores(spark, texts):
+    """Every score of the query against a forward pass written from the definition."""
+    from loomspark.llm import quality
+    from loomspark.llm.queries import fold
+
+    from .test_learned import slow_score
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    net = quality.fit(docs, labels.where(fold("doc_id", 4) != 2), "quality")
+    got = {r.doc_id: r.score for r in QUERIES["op2_quality_classifier"](spark, SF).collect()}
+    for i, t in texts:
+        if len(t) < 1500 or i % 20 == 0:
+            assert got[i] == pytest.approx(slow_score(net, t), abs=1e-4)
+
+
 def test_toxicity_neighbours(spark, texts):
     """Scores and evidence of the whole query against brute force over full vectors of all terms."""
     from loomspark.llm import toxicity

@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ BLOCK_IDS = 1 << 20
 KEPT_PIECES, SLOT_BITS = 900_000, 21
 #: Bytes of text that are cut at a time.
 CUT_BYTES = 1 << 19
+FILE_COLUMNS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ranked", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 FILE_SCHEMA = "part int, block int, ids_before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, ranked binary, control binary, data binary"
 
 # Texts with an apostrophe (a contraction may begin there), or with characters beyond ASCII that aren't Latin letters,
@@ -44,55 +45,82 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library. Such a model encodes each pre-token (a word
     with the space before it, a number, a run of other signs or of white space) by itself; so texts are cut into
-    these by byte classes, and the ids of each piece are taken from the library once and remembered under a 64-bit
-    hash of its bytes. Texts that can't be cut this way (see UNCUT) go to the library whole."""
+    these by byte classes, and the ids of each piece are taken from the library once and remembered, found by a 64-bit
+    hash and compared byte by byte. Texts that can't be cut this way (see UNCUT), or that hold one of the model's
+    added tokens, go to the library whole; so do all if the model rewrites texts first."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.plain = self.model.normalizer is None
         self.newline = self._whole("\n")
         self.powers, self.inverse = _powers(BASE, CUT_BYTES + 1), _powers(pow(BASE, -1, 1 << 64), CUT_BYTES + 1)
         self.forget()
 
     def forget(self) -> None:
-        self.count, self.known = 0, {}  # known: the pieces whose slot another one has
+        self.count = 0
+        self.known: dict[int, int] = {}  # places of the pieces whose slot another one has, by their hash
+        self.clashing: dict[bytes, int] = {}  # places of the pieces whose hash another one has
+        self.text, self.begins, self.written = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int32), 0
         self.slots, self.places = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
         self.starts, self.sizes, self.ids, self.held = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 17, np.uint32), 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Remembers the ids of pieces that aren't known; they are given to the library with newlines between them,
-        as a newline is a pre-token of its own next to anything but white space."""
-        blank = [k for k, w in enumerate(pieces) if w.isspace()]
-        solid = [k for k, w in enumerate(pieces) if not w.isspace()]
-        ids = self._whole("\n".join(pieces[k] for k in solid)) if len(self.newline) == 1 else self.newline
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Remembers pieces and their ids, and returns their places. They are given to the library with newlines between
+        them, as a newline is a pre-token of its own next to anything but white space."""
+        names = [p.decode() for p in pieces]
+        blank = [k for k, w in enumerate(names) if w.isspace()]
+        solid = [k for k, w in enumerate(names) if not w.isspace()]
+        ids = self._whole("\n".join(names[k] for k in solid)) if len(self.newline) == 1 else self.newline
         cuts = np.flatnonzero(ids == self.newline[0])
         if solid and len(cuts) == len(solid) - 1:
             sizes, ids = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, ids[ids != self.newline[0]]
         else:
             blank, solid, sizes, ids = [*solid, *blank], [], np.zeros(0, np.int64), self.ids[:0]
-        each = [self._whole(pieces[k]) for k in blank]
+        each = [self._whole(names[k]) for k in blank]
         sizes, ids = np.concatenate([sizes, np.array([len(x) for x in each], np.int64)]), np.concatenate([ids, *each])
-        hashes, n, more = hashes[[*solid, *blank]], self.count, len(pieces)
+        order, n, more = [*solid, *blank], self.count, len(pieces)
+        raw = b"".join(pieces[k] for k in order)
         self.count += more
         while len(self.sizes) < n + more:
-            self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
+            self.starts, self.sizes, self.begins = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0), np.append(self.begins, self.begins * 0)
         while len(self.ids) < self.held + len(ids):
             self.ids = np.append(self.ids, self.ids * 0)
+        while len(self.text) < self.written + len(raw):
+            self.text = np.append(self.text, self.text * 0)
         self.starts[n : n + more], self.sizes[n : n + more] = self.held + np.cumsum(sizes) - sizes, sizes
         self.ids[self.held : self.held + len(ids)] = ids
         self.held += len(ids)
+        lengths = np.array([len(pieces[k]) for k in order], np.int64)
+        self.begins[n : n + more] = self.written + np.cumsum(lengths) - lengths
+        self.text[self.written : self.written + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.written += len(raw)
+        out = np.empty(more, np.int64)
+        out[order] = np.arange(n, n + more)
+        return out
+
+    def _file(self, hashes: np.ndarray, at: np.ndarray) -> None:
+        """Makes new pieces be found by their (different) hashes."""
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         free = self.places[slot] < 0  # a slot stays with its first piece
         self.slots[slot[free]] = hashes[free]
-        won, at = free & (self.slots[slot] == hashes), np.arange(n, n + more, dtype=np.int32)
+        won = free & (self.slots[slot] == hashes)
         self.places[slot[won]] = at[won]
         self.known.update(zip(hashes[~won].tolist(), at[~won].tolist()))
 
+    def _same(self, b: np.ndarray, at: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the pieces b[at:end] are, byte by byte and in length, the remembered ones at their places."""
+        sizes = ends - at
+        shift = np.repeat(self.begins[place] - at, sizes)
+        equal = self.text.take(np.arange(len(b)) + shift, mode="clip") == b
+        stops = np.append(self.begins[1 : self.count], self.written)
+        return np.logical_and.reduceat(equal, at) & (stops[place] - self.begins[place] == sizes)
+
     def _cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in raw, each ended by 0xFF, and the number of ids before each end."""
         b = np.frombuffer(raw, np.uint8)
@@ -118,12 +146,17 @@ class Encoder:
             new = [k for k, h in enumerate(names.tolist()) if h not in self.known]
             if new:
                 where = missed[first[new]]
-                self._learn(names[new], [raw[s:e].decode() for s, e in zip(at[where].tolist(), ends[where].tolist())])
+                self._file(names[new], self._learn([raw[s:e] for s, e in zip(at[where].tolist(), ends[where].tolist())]))
             slot = (names >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             found = np.where(self.slots[slot] == names, self.places[slot], -1).astype(np.int64)
             rest = np.flatnonzero(found < 0)
             found[rest] = np.fromiter(map(self.known.__getitem__, names[rest].tolist()), np.int64, len(rest))
             place[missed] = found[back]
+        for k in np.flatnonzero(~stop & ~self._same(b, at, ends, place)).tolist():  # another piece has its hash
+            piece = raw[at[k] : ends[k]]
+            if piece not in self.clashing:
+                self.clashing[piece] = int(self._learn([piece])[0])
+            place[k] = self.clashing[piece]
         sizes = np.where(stop, 0, self.sizes[place]).astype(np.int64)
         done = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[place] - done + sizes, sizes) + np.arange(done[-1])]
@@ -144,7 +177,7 @@ class Encoder:
             raw, at, size = [], [], 0
 
         for k, text in enumerate(texts):
-            if UNCUT.search(text) or len(text) * 2 >= CUT_BYTES:
+            if not self.plain or len(text) * 2 >= CUT_BYTES or UNCUT.search(text) or any(t in text for t in self.added):
                 out[k] = self._whole(text)
                 continue
             found = text.encode()
@@ -203,22 +236,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     so each block can be read alone. Rows that share a doc_id are written one after the other; other columns
     are ignored; an empty table writes no rows. A task holds one block and the text being read."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         block, before, doc_ids, held, size = 0, 0, [], [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
             ranked, control, data = pack(ids)
             row = (part, block, before, len(ids), doc_ids, [len(x) for x in held], ranked, control, data)
-            return pd.DataFrame([row], columns=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
+            return pa.RecordBatch.from_pylist([dict(zip(FILE_COLUMNS.names, row))], schema=FILE_COLUMNS)
 
-        for pdf in batches:
-            names = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist()
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(texts), 256):
                 for name, ids in zip(names[at : at + 256], model.encode(texts[at : at + 256])):
-                    doc_ids.append(None if name is None else int(name))
+                    doc_ids.append(name)
                     held.append(np.append(ids, np.uint32(end_id)))
                     size += len(held[-1])
                     if size >= BLOCK_IDS:
@@ -231,7 +263,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     if rows.schema["doc_id"].dataType.simpleString() != "bigint":
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInPandas(blocks, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    ranged.mapInArrow(blocks, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -243,14 +275,16 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids = np.ascontiguousarray(unpack(row.ranked, row.control, row.data, row.n_ids), "<u4")
-                sizes = np.asarray(row.lengths, np.int64)
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = lambda name: batch.column(name)[k].as_py()  # noqa: B023, E731
+                ids = np.ascontiguousarray(unpack(row("ranked"), row("control"), row("data"), row("n_ids")), "<u4")
+                sizes = np.array(row("lengths"), np.int64)
                 ends = np.cumsum(sizes)
-                parts = [ids[e - n : e] for e, n in zip(ends, sizes)]
-                out = {"doc_id": pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], "Int64"), "start": row.part_start + row.ids_before + ends - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(p) for p in parts]}
-                yield pd.DataFrame(out | ({"ids": parts} if with_ids else {}))
+                out = {"doc_id": batch.column("doc_ids")[k].values, "start": row("part_start") + row("ids_before") + ends - sizes, "n_tokens": sizes, "ids_crc32": np.array([zlib.crc32(ids[e - n : e]) for e, n in zip(ends, sizes)], np.int64)}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(ends - sizes, ends[-1:]).astype(np.int32)), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_pydict(out)
 
-    return files.join(small(cut(starts)), "part").drop("part", "block").mapInPandas(documents, schema)
+    return files.join(small(cut(starts)), "part").drop("part", "block").mapInArrow(documents, schema)

@@ -236,16 +236,22 @@ def test_extraction(spark):
 
 # token files
 
-ODD = ["", "a", " a", "a ", "a  b", "\n", "a \n b", "x\n\ny z", "it's  we'll 've", " 's", "é ñ\t d", "　 a b", "a  b", "<|endoftext|> a b", "1 2 3²", "\x1c a b\x00 c", "_a __b c_d", "日本 語 です", "a\n\n\nb c", "  a", "a,b.c;;d 12ab34 _x_ ,. \n\t", "ª º µ × ÷", "a\r\nb\x0bc\x0c", "\x85 x", "😀 ok"]
+ODD = ["", "a", " a", "a ", "a  b", "\n", "a \n b", "x\n\ny z", "it's  we'll 've", " 's", "é ñ\t d", "　 a b", "a  b", "<|endoftext|> a b", "1 2 3²", "\x1c a b\x00 c", "_a __b c_d", "日本 語 です", "a\n\n\nb c", "  a", "a,b.c;;d 12ab34 _x_ ,. \n\t", "ª º µ × ÷", "a\r\nb\x0bc\x0c", "\x85 x", "😀 ok", " <|endoftext|> hello", "a<|endoftext|><|endoftext|>", "<|endoftext"]
+
+
+def thue_morse(n, turned):
+    """A word of 2 ** n letters; it and its opposite have the same polynomial hash modulo 2^64, whatever the base."""
+    return "".join("ab"[(k.bit_count() + turned) % 2] for k in range(1 << n))
+
+
+ODD += [f"{thue_morse(n, a)} x {thue_morse(n, 1 - a)}" for n in (3, 10, 11, 12) for a in (0, 1)] + [thue_morse(11, 0), thue_morse(11, 1)]
 
 
 @pytest.fixture(scope="module")
 def model():
     from tokenizers import Tokenizer
 
-    m = Tokenizer.from_file(tokenizer_path())
-    m.encode_special_tokens = True
-    return m
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_encoder_equals_library(model, monkeypatch):
@@ -295,6 +301,18 @@ def test_no_documents(spark, tmp_path):
     tokens.write_tokens(docs(spark, [(None, "a"), (3, "b")]), str(tmp_path / "n"), tokenizer_path())
     got = tokens.read_tokens(spark, str(tmp_path / "n")).orderBy("start").collect()
     assert [x.doc_id for x in got] == [None, 3]
+    tokens.write_tokens(docs(spark, [(None, "a"), (2**60 + 1, "b"), (None, "c"), (2**60 + 3, None)]).coalesce(1), str(tmp_path / "l"), tokenizer_path())
+    assert [x.doc_id for x in tokens.read_tokens(spark, str(tmp_path / "l")).orderBy("start").collect()] == [None, None, 2**60 + 1, 2**60 + 3]
+
+
+def test_equal_hashes(model, monkeypatch):
+    monkeypatch.setattr(tokens, "_powers", lambda base, n: np.ones(n, np.uint64))  # pieces of the same letters meet
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcd .1") for _ in range(r.randrange(80))) for _ in range(300)]
+    e = tokens.Encoder(tokenizer_path())
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
+    assert e.clashing
 
 
 # SimHash

@@ -104,7 +104,6 @@ def test_token_ids(spark, texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer_path())
-    model.encode_special_tokens = True
     got, at = {r.doc_id: r for r in QUERIES["op6_token_ids"](spark, SF).collect()}, 0
     for i, t in texts:
         ids = np.array([*model.encode(t, add_special_tokens=False).ids, 0], "<u4")

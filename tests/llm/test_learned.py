@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -195,14 +196,115 @@ def test_toxicity_edges(spark):
 # html
 
 
+def cut_cost(net, labels):
+    """What a labelling of the network's nodes costs, and its edges."""
+    chained = list(zip(net.leaves, net.leaves[1:], [net.chain[k] for k in net.leaves[1:]]))
+    edges = [(k, net.parents[k], net.pulls[k]) for k in range(1, len(net.parents))] + chained
+    return sum(c if c > 0 and not x else -c if c < 0 and x else 0 for c, x in zip(net.costs, labels)) + sum(w for a, b, w in edges if labels[a] != labels[b]), edges
+
+
+def maximum_flow(net):
+    """By augmenting paths between two terminals."""
+    n, room = len(net.costs), {}
+    for k, c in enumerate(net.costs):
+        room[(n, k) if c > 0 else (k, n + 1)] = abs(c)
+    for a, b, w in cut_cost(net, [False] * n)[1]:
+        room[a, b] = room.get((a, b), 0) + w
+        room[b, a] = room.get((b, a), 0) + w
+    flow = 0.0
+    while True:
+        came, queue = {n: None}, [n]
+        for a in queue:
+            for (x, y), w in room.items():
+                if x == a and w > 1e-12 and y not in came:
+                    came[y] = a
+                    queue.append(y)
+        if n + 1 not in came:
+            return flow
+        path, b = [], n + 1
+        while came[b] is not None:
+            path.append((came[b], b))
+            b = came[b]
+        least = min(room[e] for e in path)
+        for a, b in path:
+            room[a, b] -= least
+            room[b, a] = room.get((b, a), 0) + least
+        flow += least
+
+
+def random_network(r, n):
+    net, open_ = html.Network([-1], [r.uniform(-2, 2)], [0.0], [-1.0], []), [0]
+    while len(net.parents) < n:
+        while len(open_) > 1 and r.random() < 0.4 and net.parents[-1] != open_[-1] - 0 and any(p == open_[-1] for p in net.parents):
+            open_.pop()
+        leaf = r.random() < 0.6
+        net.parents.append(open_[-1])
+        net.costs.append(r.choice([0.0, r.uniform(-3, 3)]))
+        net.pulls.append(r.uniform(0, 2))
+        net.chain.append(-1.0 if not leaf else r.uniform(0, 2) if net.leaves else 0.0)
+        if leaf:
+            net.leaves.append(len(net.parents) - 1)
+        else:
+            open_.append(len(net.parents) - 1)
+    for k in range(n - 1, 0, -1):  # each element has a leaf
+        if net.chain[k] < 0 and k not in net.parents:
+            net.chain[k] = 0.5
+            net.leaves = sorted([*net.leaves, k])
+    if net.leaves:
+        net.chain[net.leaves[0]] = 0.0
+    return net
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(0)
-    for _ in range(150):
-        n = r.randrange(1, 8)
-        costs = [r.uniform(-3, 3) for _ in range(n)]
-        edges = [(a, b, r.uniform(0, 2)) for a, b in itertools.combinations(range(n), 2) if r.random() < 0.5]
-        cost = lambda x: sum((c if c > 0 and not k else -c if c < 0 and k else 0) for c, k in zip(costs, x)) + sum(w for a, b, w in edges if x[a] != x[b])  # noqa: B023, E731
-        assert cost(html.minimum_cut(costs, edges)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
+    for _ in range(200):
+        net = random_network(r, r.randrange(1, 11))
+        best = min(cut_cost(net, x)[0] for x in itertools.product([False, True], repeat=len(net.costs)))
+        assert cut_cost(net, html.minimum_cut(net))[0] == pytest.approx(best) == pytest.approx(maximum_flow(net))
+    for n in (40, 90):
+        net = random_network(r, n)
+        assert cut_cost(net, html.minimum_cut(net))[0] == pytest.approx(maximum_flow(net))
+
+
+def test_cuts_of_pages():
+    """Networks of real blocks, most of which say nothing, against a maximum flow."""
+    r = random.Random(4)
+    for _ in range(40):
+        parts = [r.choice(["<p>Some words, and more of them here.", "<li><a href=x>Go</a>", "<div>", "</div>", "text ", "<ul>", "</ul>", '<div class="ad">', "<article>", "</article>", "<nav>", "</nav>", "<h2>Head</h2>"]) for _ in range(r.randrange(1, 25))]
+        blocks, elements = html.blocks_of("".join(parts))
+        net = html.network(blocks, elements, (html.features(blocks) @ html.PLAIN_WEIGHTS).tolist())
+        assert len(net.leaves) == len(blocks)
+        assert cut_cost(net, html.minimum_cut(net))[0] == pytest.approx(maximum_flow(net), abs=1e-9)
+
+
+@pytest.mark.parametrize("frame", ['<div class="layout sidebar-right"><article>{}</article></div>', '<div class="content has-sidebar">{}</div>', '<div id="page" class="no-banner">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="post"><div class="sidebar">Short links</div>{}</div>'])
+def test_frames_keep_their_text(frame):
+    article, text = "<h1>Title</h1><p>A long sentence stands here, with some words.</p><p>More of it.</p>", "Title A long sentence stands here, with some words. More of it."
+    if "article" in frame or "content" in frame or "post" in frame:  # a short list alone looks like a menu
+        article, text = article + "<ul><li>One</li><li>Two</li></ul>", text + " One Two"
+    assert html.main_text(f"<html><body>{frame.format(article)}</body></html>") == text
+
+
+def test_boilerplate_of_all_kinds():
+    sentence = "This is a whole sentence, as long as those of an article, with words in it."
+    outside = [f'<div class="{c}"><p>{sentence}</p></div>' for c in ("sidebar", "ad", "cookie-notice", "post-comments", "newsletter-signup", "related-posts")]
+    outside += [f"<{e}><p>{sentence}</p></{e}>" for e in ("nav", "aside", "footer", "header", "form", "dialog")] + [f"<div>{sentence}</div>", f'<ol class="comment-list"><li><article class="comment-body"><p>{sentence}</p><p>{sentence}</p></article></li></ol>']
+    for part in outside:
+        assert html.main_text(f"<body>{part}<main><h1>Title</h1><p>{sentence}</p></main>{part}</body>") == f"Title {sentence}", part
+        assert html.main_text(f"<body><article><h1>Title</h1><p>{sentence}</p></article>{part}</body>") == f"Title {sentence}", part
+    for part in outside[:-2]:
+        assert html.main_text(f"<body><article><h1>Title</h1><p>{sentence}</p>{part.replace('<header>', '<aside>').replace('</header>', '</aside>')}<p>{sentence}</p></article></body>") == f"Title {sentence} {sentence}", part
+
+
+def test_broken_and_long_pages():
+    began = time.perf_counter()
+    for n in (18, 1000, 50_000):
+        for broken in ("<a " + '"y"' * n + " < end", '<a "' * n + " < end", '<a b="' * n + " < end", "<a b='x\"" * n, "<!-" * n, "<" * n, "</" * n, "<script>" * n, "</span>" * n):
+            assert html.main_text("<article><p>Kept text, that is whole.</p></article>" + broken).startswith("Kept text, that is whole.")
+    assert html.main_text("<div>x" * 20_000 + "</i></div>" * 20_000) == "" == html.main_text("<p>" * 50_000)
+    long = "<article>" + "<p>Words of a sentence, with more of them.</p><div>no</div>" * 20_000 + "</article>"
+    assert html.main_text(long).count("Words of a sentence") == 20_000
+    assert time.perf_counter() - began < 30
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head>
@@ -230,6 +332,7 @@ def test_pages_without_named_parts():
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "v", None), (None, "w", "<p>"), (1, "u", PAGE), (4, "x", "<div>" * 5000 + "deep")], "page_id bigint, url string, html string").withColumn("text", F.lit(1))
     got = html.extract(pages, html.fit(pages)).collect()
+    assert got[3].text == html.main_text(PAGE, html.fit(pages))
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and len(got) == 5 and got[0].text == got[3].text != ""
     assert html.extract(pages.limit(0), html.fit(pages.limit(0))).count() == 0
 

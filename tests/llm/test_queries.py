@@ -100,6 +100,19 @@ def test_main_text(spark):
         assert r.text == " ".join(plain.split()) and r.n_chars == len(r.text)
 
 
+def test_the_cut_decides(spark):
+    """Every page of the table would have another text if each block followed its own classifier."""
+    from loomspark.llm import html as extraction
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights, blocks_in_all, turned = extraction.fit(pages), 0, 0
+    for r in pages.collect():
+        blocks, elements = extraction.blocks_of(r.html)
+        labels, said = extraction.label(blocks, elements, weights)
+        blocks_in_all, turned = blocks_in_all + len(blocks), turned + sum((c > 0) != k for k, c in zip(labels, said))
+    assert turned > 0.05 * blocks_in_all
+
+
 def test_token_ids(spark, texts):
     from tokenizers import Tokenizer
 

@@ -7,42 +7,77 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Places of a fingerprint from which on its first place is broadcast, and the most fingerprints that can be.
+HEAVY, HEAVY_ROWS = 10_000, 50_000
 
-def hash60(x: Column) -> Column:
-    """60 bits of the md5 as a bigint: a hash that other SQL engines share."""
-    return F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("bigint")
+
+def line_hash(x: Column) -> Column:
+    """The 128 bits of the md5: two different lines of 10^10 are taken for equal with probability 10^-19."""
+    return F.unhex(F.md5(x))
 
 
 def winnowed_lines(docs: DataFrame, long_line: int) -> DataFrame:
-    """(doc_id, text_hash, pos, other, side, g, beside): the fingerprints of every text's lines.
+    """(doc_id, text_hash, pos, g, alone, next, next_pos, prev, prev_pos): a row for each selected line of a text.
 
-    Of each window of two neighbouring lines the smaller line hash is selected, the right one of equals; the
-    fingerprint keeps on which side of it the other line stands, where, and that line's hash, so it says how far
-    the match extends until the next selected line takes over. A line of `long_line` words is a window by itself,
-    and so is the only line of a text. Blank lines are passed over: the lines before and after them are neighbours."""
+    Of each window of two neighbouring lines the one with the smaller hash g is selected, the right one of equals; a
+    line may be selected by the windows on both of its sides and is one row. next and prev are the hashes of the
+    lines beside it in the windows that selected it, else null; alone is null. A line of `long_line` words is a
+    window by itself (alone 0), and so is the only line of a text (alone 1). Blank lines are passed over: the lines
+    before and after them are neighbours."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("l"))
-    lines = lines.withColumn("l", F.filter(F.transform("l", lambda x, i: F.struct(i.alias("pos"), F.when(F.regexp_count(x, F.lit(r"\S")) > 0, hash60(x)).alias("h"), (F.regexp_count(x, F.lit(r"\S+")) >= long_line).alias("long"))), lambda x: x["h"].isNotNull()))
-    pairs = F.expr("""transform(filter(transform(l, (x, i) -> struct(x, get(l, i + 1) as y)), z -> z.y is not null), z ->
-        if(z.x.h < z.y.h, named_struct('pos', z.x.pos, 'other', z.y.pos, 'side', 1, 'g', z.x.h, 'beside', z.y.h), named_struct('pos', z.y.pos, 'other', z.x.pos, 'side', -1, 'g', z.y.h, 'beside', z.x.h)))""")
-    alone = F.expr("transform(filter(l, x -> x.long or size(l) = 1), x -> named_struct('pos', x.pos, 'other', x.pos, 'side', 0, 'g', x.h, 'beside', if(x.long, 0L, 1L)))")
-    return lines.select("doc_id", "text_hash", F.explode(F.concat(pairs, alone)).alias("f")).select("doc_id", "text_hash", "f.*")
+    lines = lines.withColumn("l", F.filter(F.transform("l", lambda x, i: F.struct(i.alias("pos"), F.when(F.regexp_count(x, F.lit(r"\S")) > 0, line_hash(x)).alias("h"), (F.regexp_count(x, F.lit(r"\S+")) >= long_line).alias("long"))), lambda x: x["h"].isNotNull()))
+    chosen = F.expr("""filter(transform(l, (x, i) -> struct(x.pos, x.h as g, cast(null as int) as alone,
+        if(get(l, i + 1).h > x.h, get(l, i + 1).h, null) as next, if(get(l, i + 1).h > x.h, get(l, i + 1).pos, null) as next_pos,
+        if(i > 0 and get(l, i - 1).h >= x.h, get(l, i - 1).h, null) as prev, if(i > 0 and get(l, i - 1).h >= x.h, get(l, i - 1).pos, null) as prev_pos)),
+        x -> x.next is not null or x.prev is not null)""")
+    alone = F.expr("""transform(filter(l, x -> x.long or size(l) = 1), x -> struct(x.pos, x.h as g, if(x.long, 0, 1) as alone,
+        cast(null as binary) as next, cast(null as int) as next_pos, cast(null as binary) as prev, cast(null as int) as prev_pos))""")
+    return lines.select("doc_id", "text_hash", F.explode(F.concat(chosen, alone)).alias("f")).select("doc_id", "text_hash", "f.*")
+
+
+def later_places(rows: DataFrame, key: list[str], beside: list[str]) -> DataFrame:
+    """The rows that aren't the first of their key in the order (doc_id, text_hash, pos), with that one as `first`
+    (its place and its columns `beside`): one partner each, so there are no more rows than before.
+
+    A key with many places would be one task of the join, so the first places of such keys, HEAVY_ROWS at most, are
+    broadcast, and only the other rows are shuffled. rows must be written."""
+    place = F.struct("doc_id", "text_hash", "pos", *beside)
+    firsts = cut(rows.groupBy(key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    limit = max(HEAVY, (firsts.agg(F.sum("n")).first()[0] or 0) // HEAVY_ROWS)
+    light = firsts.where(F.col("n") <= limit).drop("n")
+    heavy = firsts.where(F.col("n") > limit).drop("n")
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in key]
+    if heavy.isEmpty():
+        met = rows.join(light, same(rows, light)).select(rows["*"], "first")
+    else:
+        hot = F.broadcast(heavy)
+        rest = rows.join(hot, same(rows, heavy), "left_anti")
+        met = rows.join(hot, same(rows, heavy)).select(rows["*"], "first").unionByName(rest.join(light, same(rest, light)).select(rest["*"], "first"))
+    return met.where("doc_id != first.doc_id or text_hash != first.text_hash or pos != first.pos")
 
 
 def repeated_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
     """(doc_id, text_hash, pos) of the lines in later copies of a run of lines; pos counts from 0.
 
     A run is two lines or more, or one of `long_line` words or more, or the only line of a text. Blank lines don't
-    count; those between two lines of a later copy are returned with them. Equal
-    fingerprints are joined to the first of their places in the order (doc_id, text_hash, pos): one partner
-    each, so the join's output is no larger than its input, however often a line occurs. A match covers the
-    selected line and the one beside it; matches of neighbouring windows chain into the whole run, as every
-    second line at least is selected. So a line is returned exactly if a run of two lines (or a long line) that
-    it is in stands at an earlier place too."""
+    count; those between two lines of a later copy are returned with them. Windows of two lines guarantee that every
+    run has a selected line in each two of its lines, the same ones in every copy. Each selected line is joined to the
+    first place of an equal one and the match extended to both sides, where the lines beside both are equal; matches
+    of neighbouring windows chain into the whole run. Where they aren't, as the first place of a common line stands
+    among others, that side is joined once more, to the first place of the two lines together. So a line is
+    returned exactly if a run of two lines (or a long line) that it is in stands at an earlier place too."""
     prints = cut(winnowed_lines(docs.where("doc_id is not null and text is not null"), long_line))
-    key = ["side", "g", "beside"]
-    firsts = prints.groupBy(key).agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.max(F.struct("doc_id", "text_hash", "pos")).alias("last")).where("first != last").drop("last")
-    later = prints.join(firsts, key).where("struct(doc_id, text_hash, pos) != first")
-    return later.select("doc_id", "text_hash", F.explode(F.sequence("pos", "other")).alias("pos"))
+    met = cut(later_places(prints, ["g", "alone"], ["next", "prev"]))
+    sides = F.array(
+        F.struct(F.lit(1).alias("side"), F.col("next").alias("beside"), F.col("next_pos").alias("other"), (F.col("next") == F.col("first.next")).alias("equal")),
+        F.struct(F.lit(-1).alias("side"), F.col("prev").alias("beside"), F.col("prev_pos").alias("other"), (F.col("prev") == F.col("first.prev")).alias("equal")),
+    )
+    place = ["doc_id", "text_hash", "pos"]
+    extended = met.where("alone is null").select(*place, "g", F.explode(sides).alias("x")).select(*place, "g", "x.*").where("other is not null")
+    apart = cut(extended.where("not coalesce(equal, false)").drop("equal"))
+    again = later_places(apart, ["g", "side", "beside"], []).select(*place, "other")
+    found = met.where("alone is not null").select(*place, F.col("pos").alias("other")).unionByName(extended.where("equal").select(*place, "other")).unionByName(again)
+    return found.select("doc_id", "text_hash", F.explode(F.sequence("pos", "other")).alias("pos"))
 
 
 def dedup_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:

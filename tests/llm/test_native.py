@@ -160,9 +160,14 @@ def brute_passages(rows, long_line=50):
     return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in rows}
 
 
-def test_passages_with_blank_lines(spark):
+@pytest.mark.parametrize("heavy", [10_000, 3])
+def test_passages_with_blank_lines(spark, monkeypatch, heavy):
     import random
 
+    from loomspark.llm import linededup
+
+    monkeypatch.setattr(linededup, "HEAVY", heavy)
+
     r = random.Random(9)
     passage = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(3)]
     rows = [(1, "\n\n".join(["one", *passage, "end"])), (2, "\n\n".join(["two", *passage, "stop"])), (3, "\n \n\n".join(passage)), (4, "only\n"), (5, "\nonly"), (6, "\n\n"), (7, "\n\n")]
@@ -172,6 +177,23 @@ def test_passages_with_blank_lines(spark):
     assert got[2] == "two\n\n\nstop" and got[3] == "" and got[5] == "" and got[7] == "\n\n"
 
 
+def test_winnowing_selects_window_minima(spark):
+    import hashlib
+    import random
+
+    from loomspark.llm import linededup
+
+    r = random.Random(3)
+    rows = [(i, "\n".join(r.choice("abcdefghijk") for _ in range(r.randrange(2, 60)))) for i in range(40)]
+    got = linededup.winnowed_lines(docs(spark, rows), 50).collect()
+    places = {(x.doc_id, x.pos) for x in got}
+    assert len(places) == len(got) < 0.75 * sum(t.count("\n") for _, t in rows)  # fewer than pairs of neighbours
+    for i, t in rows:
+        h = [hashlib.md5(x.encode()).digest() for x in t.split("\n")]
+        chosen = {k + 1 if h[k + 1] <= h[k] else k for k in range(len(h) - 1)}
+        assert {p for d, p in places if d == i} == chosen
+
+
 def test_line_edges(spark):
     rows = [(None, "a\nb"), (1, None), (2, "a\nb"), (2, "a\nb"), (3, "a\nb")]
     df = docs(spark, rows).withColumn("n_lines", F.lit("mine")).withColumn("pos", F.lit(1)).withColumn("first", F.lit(1))

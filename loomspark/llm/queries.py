@@ -17,41 +17,50 @@ from .simhash import near_groups
 from .tokens import read_tokens, write_tokens
 from .weighted import edited_fingerprints
 
+
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-REPLY = {"reply": {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 3}}, "required": ["prompt", "turn", "words"]}}
+_TURN = {"prompt": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 3}}
+TOOLS = {"reply": {"properties": _TURN, "required": ["prompt", "turn", "words"]}, "configure": {"properties": {**_TURN, "turn": {"type": "integer", "maximum": 0}}, "required": ["prompt", "turn"]}}
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn as a call of the tool `reply` that depends on the call two turns before, each assistant
-    turn as the result of the call one turn before it."""
+    """Each user turn as a call of the tool `reply` and each system turn as one of `configure`, each assistant turn as the
+    result of the call one turn before it. Dependencies are out of order on purpose: turns 2 and 3 of each four
+    depend on the call two turns later, the others on the one four turns before, turn 1 on the system's."""
     turns = table(spark, sf_dir, "conversations")
     name = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
     args = F.to_json(F.struct("turn", F.size(F.split("text", " ")).alias("words"), F.col("text").alias("prompt")))
-    calls = turns.where("role = 'user'").select("conv_id", name(0).alias("call_id"), F.col("turn").alias("seq"), F.lit("reply").alias("name"), args.alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    wants = F.when(F.col("role") == "system", None).when(F.col("turn") % 4 >= 2, name(-2)).when(F.col("turn") >= 4, name(4)).when(F.col("turn") == 1, name(1))
+    tool = F.when(F.col("role") == "user", "reply").otherwise("configure")
+    calls = turns.where("role in ('user', 'system')").select("conv_id", name(0).alias("call_id"), F.col("turn").alias("seq"), tool.alias("name"), args.alias("arguments"), F.array_compact(F.array(wants)).alias("depends_on"))
     results = turns.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
-    return link_tool_calls(calls, results, REPLY)
+    return link_tool_calls(calls, results, TOOLS)
 
 
 ORACLE_3 = """
-WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, 't' || turn AS call_id, turn AS seq, CASE WHEN turn >= 2 THEN 't' || (turn - 2) END AS dep,
-             len(string_split(text, ' ')) AS words, text FROM t WHERE role = 'user'),
-one AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY seq, text) = 1),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, 't' || turn AS call_id, turn AS seq, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS tool,
+             CASE WHEN role = 'system' THEN NULL WHEN turn % 4 >= 2 THEN 't' || (turn + 2) WHEN turn >= 4 THEN 't' || (turn - 4) WHEN turn = 1 THEN 't0' END AS dep,
+             len(string_split(text, ' ')) AS words, text FROM t WHERE role IN ('user', 'system')),
+one AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY seq, tool, text) = 1),
+chains AS (SELECT conv_id, call_id, 0 AS depth FROM one UNION ALL
+           SELECT one.conv_id, one.call_id, depth + 1 FROM chains JOIN one ON one.conv_id = chains.conv_id AND one.dep = chains.call_id),
+levels AS (SELECT conv_id, call_id, max(depth) AS level FROM chains GROUP BY ALL),
 r AS (SELECT conv_id, 't' || (turn - 1) AS call_id, turn AS result_seq, text AS content FROM t WHERE role = 'assistant'),
 answer AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY result_seq, content) = 1),
 linked AS (
-  SELECT coalesce(one.conv_id, answer.conv_id) AS conv_id, coalesce(one.call_id, answer.call_id) AS call_id, coalesce(seq, result_seq) AS seq,
-         one.call_id IS NOT NULL AS called, answer.call_id IS NOT NULL AS answered, one.seq AS turn, words, text, content,
-         concat_ws('; ', CASE WHEN words < 3 THEN 'words: below 3' END,
+  SELECT coalesce(one.conv_id, answer.conv_id) AS conv_id, coalesce(one.call_id, answer.call_id) AS call_id, coalesce(seq, result_seq) AS seq, tool,
+         one.call_id IS NOT NULL AS called, answer.call_id IS NOT NULL AS answered, one.seq AS turn, words, text, content, coalesce(level, 0) AS level,
+         concat_ws('; ', CASE WHEN tool = 'configure' AND one.seq > 0 THEN 'turn: above 0' END, CASE WHEN words < 3 THEN 'words: below 3' END,
            CASE WHEN one.dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM one o WHERE o.conv_id = one.conv_id AND o.call_id = one.dep) THEN 'depends_on: no call ' || one.dep END) AS errors
-  FROM one FULL JOIN answer ON one.conv_id = answer.conv_id AND one.call_id = answer.call_id),
+  FROM one FULL JOIN answer ON one.conv_id = answer.conv_id AND one.call_id = answer.call_id LEFT JOIN levels ON levels.conv_id = one.conv_id AND levels.call_id = one.call_id),
 said AS (SELECT *, CASE WHEN NOT called THEN 'orphan' WHEN errors <> '' THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'ok' END AS status FROM linked)
-SELECT conv_id, 0 AS level, seq, call_id, status, CASE WHEN called THEN errors ELSE '' END AS errors,
+SELECT conv_id, level, seq, call_id, status, CASE WHEN called THEN errors ELSE '' END AS errors,
   '{"arguments":' || CASE WHEN called THEN '{"prompt":' || to_json(text) || ',"turn":' || turn || ',"words":' || words || '}' ELSE 'null' END
-  || ',"id":"' || call_id || '","name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END
+  || ',"id":"' || call_id || '","name":' || CASE WHEN called THEN '"' || tool || '"' ELSE 'null' END
   || ',"result":' || CASE WHEN answered THEN to_json(content)::VARCHAR ELSE 'null' END || ',"status":"' || status || '"}' AS json
 FROM said
 """

@@ -95,11 +95,50 @@ def test_linking_and_order(spark):
     assert got[3, "late"].status == "unanswered" and got[4, "lost"].status == "orphan"
 
 
-def test_long_chain_out_of_order(spark):
-    n = 12
-    calls = [(1, f"k{i}", n - i, "add", '{"a":1}', [f"k{i - 1}"] if i else []) for i in range(n)]
+def test_long_chain_out_of_order(spark, monkeypatch):
+    from loomspark.llm import chat
+
+    rounds = []
+    monkeypatch.setattr(chat, "drop", lambda *tables: rounds.append(len(tables)))
+    n = 200
+    calls = [(1, f"k{i}", n - i, "add", '{"a":1}', [f"k{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(n)]
     got = linked(spark, calls, [])
     assert [r.call_id for r in got] == [f"k{i}" for i in range(n)] and [r.level for r in got] == list(range(n))
+    assert len(rounds) < 12  # about the logarithm of 200
+
+
+def brute_levels(calls):
+    deps = {c[1]: {d for d in c[5] or []} for c in calls}
+    deps = {k: d & set(deps) for k, d in deps.items()}
+    level = {}
+    while free := [k for k in deps if k not in level and all(d in level for d in deps[k])]:
+        level |= {k: max([level[d] + 1 for d in deps[k]], default=0) for k in free}
+    return {k: level.get(k, -1) for k in deps}
+
+
+def test_levels_of_any_graph(spark):
+    import random
+
+    r, calls = random.Random(1), []
+    for conv in range(30):
+        n = r.randrange(1, 14)
+        for i in range(n):
+            some = [f"c{r.randrange(n + 1)}" if r.random() < 0.15 else f"c{r.randrange(i)}" for _ in range(r.randrange(4)) if i]
+            calls.append((conv, f"c{i}", r.randrange(20), "add", '{"a":1}', some))
+    calls += [(90, "a", 1, "add", "{}", ["b"]), (90, "b", 1, "add", "{}", ["c"]), (90, "c", 1, "add", "{}", ["a"]), (90, "d", 1, "add", "{}", ["a", "e"]), (90, "e", 1, "add", "{}", None), (90, "s", 1, "add", "{}", ["s"])]
+    got = {(x.conv_id, x.call_id): x.level for x in linked(spark, calls, [])}
+    for conv in {c[0] for c in calls}:
+        for call, level in brute_levels([c for c in calls if c[0] == conv]).items():
+            assert got[conv, call] == level, (conv, call)
+    assert -1 in got.values() and max(got.values()) > 3
+
+
+def test_nested_schemas(spark):
+    schemas = {"book": {"properties": {"room": {"type": "object", "properties": {"size": {"type": "string", "enum": ["small", "large"]}, "beds": {"type": "integer", "minimum": 1}}, "required": ["size"]}, "days": {"type": "array", "items": {"type": "integer"}}}, "required": ["room"]}}
+    rows = ['{"room":{"size":"small","beds":2},"days":[1,2]}', '{"room":{"size":"huge","beds":0},"days":[1,"x"]}', '{"room":{"beds":"two"}}', '{"room":3}', "{}"]
+    calls = spark.createDataFrame([(1, f"c{k}", k, "book", x, []) for k, x in enumerate(rows)], CALLS)
+    got = [r.errors for r in link_tool_calls(calls, spark.createDataFrame([], RESULTS), schemas).orderBy("seq").collect()]
+    assert got == ["", "room.size: not in the list; room.beds: below 1; days: an item is not integer", "room.size: missing; room.beds: not integer", "room: not object", "room: missing"]
 
 
 def test_repeated_null_and_empty_calls(spark):

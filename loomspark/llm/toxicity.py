@@ -20,9 +20,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
 #: Examples of one block, neighbours that vote.
 BLOCK, NEIGHBOURS = 64, 25
 #: A term that the label favours weighs more, by 1 for each so much of its G statistic beyond chance.
-TELLING = 4.0
-#: In calibration an example's neighbours nearer than this count as its copies and don't vote.
-COPY = 0.9
+TELLING = 6.0
 #: Letters of a word's stem, a term of its own in longer words.
 STEM = 5
 # The same runs of letters and of numbers that aren't decimal digits, here and in Spark.
@@ -56,14 +54,18 @@ def term_counts(text: str) -> Counter:
     return out
 
 
+def marks(text: str) -> list[int]:
+    """A text's six smallest 4-word shingle hashes: texts that share one count as copies while fitting."""
+    words = text.split()
+    return sorted({zlib.crc32(" ".join(words[i : i + 4]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 3))})[:6]
+
+
 def without_copies(rows: list) -> list:
-    """Rows that share none of their six smallest 4-word shingle hashes with an earlier one: copies of a text would
-    make every word of it look telling."""
+    """Rows that share no mark with an earlier one: copies of a text would make every word of it look telling."""
     seen: set[int] = set()
     kept = []
     for row in rows:
-        words = row[1].split()
-        least = sorted({zlib.crc32(" ".join(words[i : i + 4]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 3))})[:6]
+        least = marks(row[1])
         if not seen.intersection(least):
             kept.append(row)
         seen.update(least)
@@ -145,8 +147,8 @@ class Index:
                 out[t] = out.get(t, 0) + n
         return out
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, below: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0 (and not above `below`), exact; of
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a cosine above 0 (but those at `without`), exact; of
         equals the smaller doc_id first. Blocks are scored in the order of their bounds, the four best, then four
         times as many and so on, until no block left can hold a nearer one."""
         lists, sizes = spread(self.lists[at], self.lists[at + 1])
@@ -167,9 +169,9 @@ class Index:
             mine = np.flatnonzero(chosen[block])
             of, n = spread(self.sections[lists[mine]], self.sections[lists[mine] + 1])
             s = np.bincount(self.example[of], np.repeat(each[mine], n) * self.weight[of], minlength=len(self.ids))
+            if without is not None:
+                s[without] = 0.0
             p = np.flatnonzero(s > (cosines[-1] - 1e-9 if len(places) == k else 0))
-            if below is not None:
-                p = p[s[p] <= below]
             places, cosines = np.concatenate([places, p]), np.concatenate([cosines, s[p]])
             best = np.lexsort((self.ids[places], -cosines))[:k]
             places, cosines = places[best], cosines[best]
@@ -181,7 +183,7 @@ class Index:
         return float(((w * self.labels[places]).sum() + 0.1 * self.rate) / (w.sum() + 0.1))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Platt scaling of votes that left their own example out."""
+        """Platt scaling of votes that left their own example and its copies out."""
         x = np.stack([votes, np.ones_like(votes)], 1)
         y = np.where(labels > 0, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((labels == 0).sum() + 2))
         b = np.array([4.0, -2.0])
@@ -195,6 +197,8 @@ class Index:
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         places, cosines = self.nearest(*self.vector(self.counts(text)))
+        if not len(places):
+            return self.rate, places, cosines
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(places, cosines) + self.offset, -30, 30)))), places, cosines
 
 
@@ -217,7 +221,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.nda
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, raised: bool = True) -> Index:
     """An index over a bounded sample of the labelled documents (see labelled_sample) and all of its terms, with
     document frequencies over all of docs. A term's weight is its idf, raised for terms that the label favours
-    (see telling; not with raised=False). Without labels every score is 0, with those of one kind near their rate."""
+    (see telling; not with raised=False). Without labels every score is near 0, with those of one kind near their rate."""
     lowered = docs.select("doc_id", F.lower("text").alias("text"))
     sample = labelled_sample(lowered, labels, label, rows)
     y = np.array([r[2] for r in sample], np.float64)
@@ -229,7 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     rate = float(y.mean()) if len(y) else 0.0
     index = Index({t: w * (1 + more.get(t, 0)) for t, w in zip(terms, idf.tolist())}, [(i, c, v) for (i, _, v), c in zip(sample, counts)], rate)
     if 0 < rate < 1:
-        index.calibrate(np.array([index.vote(*index.nearest(*index.vector(index.counts(t)), below=COPY)) for _, t, _ in sample]), y)
+        place, alike = {i: k for k, i in enumerate(index.ids.tolist())}, {}
+        for i, t, _ in sample:
+            for mark in marks(t):
+                alike.setdefault(mark, []).append(place[i])
+        near = [index.nearest(*index.vector(index.counts(t)), without=[k for mark in marks(t) for k in alike[mark]]) for _, t, _ in sample]
+        index.calibrate(np.array([index.vote(*x) for x in near]), y)
     else:
         index.slope, index.offset = 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     return index
@@ -239,7 +248,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """docs with `score` (the calibrated probability) and `evidence`, the nearest labelled examples with their
     cosines and labels, nearest first; columns of these names are replaced, all others and all rows stay, repeated
     ones too. Every whole text is scored by itself; a null or empty text, and one without any of the index's
-    terms, gets the score of no evidence. An empty table stays empty. Terms that no example has carry no weight."""
+    terms, has no evidence and gets the sample's rate of the label. An empty table stays empty. Terms that no example has carry no weight."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     evidence = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 

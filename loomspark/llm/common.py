@@ -8,14 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table may be broadcast, once counted.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a table may be broadcast, once counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all runs on one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -62,9 +64,12 @@ def held(key=None, make=None):
     return _held.get(key)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows it small enough, else df: Spark then shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if counts of its rows and bytes show it small enough, else df: Spark then shuffles
+    both sides."""
+    each = [F.octet_length(c) if t in ("string", "binary") else 8 * F.size(c) if t.startswith("array") else F.lit(8) for c, t in df.dtypes]
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(x, F.lit(0)).cast("bigint") for x in each), F.lit(0)))).first()
+    return F.broadcast(df) if found[0] <= rows and (found[1] or 0) <= size else df
 
 
 def md5_unit(*parts: Column) -> Column:

@@ -47,6 +47,20 @@ def test_mixing_counts(spark):
     assert 500 < len(got) < 700
 
 
+def test_large_rates(spark):
+    """Distribution functions against sums of exactly computed terms, and one source with a huge rate."""
+    df = spark.createDataFrame([(i, "t", "en", s, 1) for i, s in enumerate("aabbbbc")], DOCS)
+    for total in (3.0, 70.0, 7e3, 7e5):
+        for r in mixing.repetition_rates(df, weights={"a": 0.2, "b": 0.7, "c": 0.1}, total=total).collect():
+            p = [math.exp(-r.rate + k * math.log(r.rate) - math.lgamma(k + 1)) for k in range(int(r.rate + 12 * r.rate**0.5 + 21))]
+            for j in {0, len(r.cdf) // 3, len(r.cdf) // 2, len(r.cdf) - 1}:
+                assert r.cdf[j] == pytest.approx(math.fsum(p[: r.least + j + 1]), abs=1e-9)
+            assert len(r.cdf) < 24 * r.rate**0.5 + 44
+    one = spark.createDataFrame([(i, "t", "en", "x", 1) for i in range(2)], DOCS)
+    n = mixing.poisson_mix(one, total=60_000.0).groupBy("doc_id").count().collect()
+    assert all(abs(x["count"] - 30_000) < 6 * 30_000**0.5 for x in n)
+
+
 def test_mixing_edges(spark):
     rows = [(1, None, "en", None, 0), (1, None, "en", None, 0), (None, "", "en", "x", 0), (2, "z", None, "x", 1)]
     df = spark.createDataFrame(rows, DOCS).withColumn("replica", F.lit("mine")).withColumn("extra", F.lit(1))

@@ -138,10 +138,10 @@ def near_links(prints: DataFrame) -> DataFrame:
     many = keys.join(shared.where(F.col("n") > PAIRWISE), "key", "left_semi").select("fp").distinct()
     points = many.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("point"))
     points = cut(points)
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select("point", "a")
+    least = cut(points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select("point", "a"))
     stars = points.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b"))
     links = cut(pairs.unionByName(stars).distinct())
-    drop(keys, shared, few, points)
+    drop(keys, shared, few, points, least)
     return links
 
 
@@ -239,9 +239,9 @@ def prefixes(texts: DataFrame) -> DataFrame:
     """(doc_id, n, weight, sh): of each of `texts` (doc_id, text_hash, sh: every shingle) the rarest n // 5 + 1
     shingles, those of one text alone left out. Two texts that are 0.8 or more alike share one of theirs, as all order
     shingles alike. The weight says how much a text has in common with all others."""
-    counts = texts.groupBy("sh").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut(texts.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))  # written, so that a common shingle's join can be split
     sizes = texts.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    common = texts.join(counts.where("c > 1"), "sh").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("c", "sh"))).alias("s"), F.sum("c").alias("weight"))
+    common = texts.join(counts, "sh").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("c", "sh"))).alias("s"), F.sum("c").alias("weight"))
     first = common.join(sizes, ["doc_id", "text_hash"]).withColumn("few", F.expr("n div 5 + 1 - (n - size(s))")).where("few > 0")
     return first.select("doc_id", "n", "weight", F.explode(F.expr("slice(s, 1, int(few)).sh")).alias("sh"))
 
@@ -260,7 +260,7 @@ def connect(keyed: DataFrame, links: DataFrame, verify) -> DataFrame:
         roots = components(links)
         now = keyed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         apart = now.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
-        now = cut(now.join(apart, "sh", "left_semi"))
+        now = cut(now.join(cut(apart), "sh", "left_semi"))
         fresh = now if done is None else now.join(done, ["sh", "doc_id", "n"], "left_anti")
         best = fresh.groupBy("sh", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.lit(1 << step)).alias("share")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc_id", "n", "root")).alias("p"))
         pivots = cut(best.select("sh", "p.doc_id", "p.n", "p.root"))
@@ -290,22 +290,23 @@ def likely_pairs(classes: DataFrame) -> DataFrame:
     links = near_links(classes.select(F.col("whole").alias("fp")).distinct())
     roots = components(links).select(F.col("node").alias("whole"), "root")
     wholes = classes.select("doc_id", "whole").join(roots, "whole", "left").select("doc_id", F.xxhash64(F.coalesce("root", "whole"), F.lit("whole")).alias("at"))
-    met = wholes.unionByName(classes.select("doc_id", F.explode("pieces").alias("at"))).distinct()
-    sizes = met.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a")).where("n > 1")
-    met = cut(met.join(sizes, "at"))
+    every = cut(wholes.unionByName(classes.select("doc_id", F.explode("pieces").alias("at"))).distinct())
+    sizes = cut(every.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a")).where("n > 1"))
+    met = cut(every.join(sizes, "at"))
+    drop(every, sizes)
     few, many = met.where(F.col("n") <= FEW_DOCUMENTS), met.where(F.col("n") > FEW_DOCUMENTS)
     pairs = few.select("at", F.col("doc_id").alias("x")).join(few.select("at", F.col("doc_id").alias("b")), "at").where("x < b").select(F.col("x").alias("a"), "b")
     stars = many.select("a", F.col("doc_id").alias("b"))
     lists = many.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))  # PIECES + 1 at most
     twos = cut(lists.select("doc_id", F.explode(F.expr("flatten(transform(ats, (x, i) -> transform(slice(ats, i + 2, size(ats)), y -> xxhash64(x, y))))")).alias("two")))
-    least = twos.groupBy("two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most").select("two", "a")
+    least = cut(twos.groupBy("two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most").select("two", "a"))
     found = pairs.unionByName(stars).unionByName(twos.join(least, "two").select("a", F.col("doc_id").alias("b"))).where("a < b").distinct()
     facts = classes.select("doc_id", F.col("least").alias("l"), "n")
     both = found.join(facts.select(F.col("doc_id").alias("a"), F.col("l").alias("la"), F.col("n").alias("na")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb")), "b")
     near = F.expr(f"size(array_intersect(slice(array_sort(array_union(la, lb)), 1, {LEAST_HASHES}), array_intersect(la, lb))) / least({LEAST_HASHES}, size(array_union(la, lb)))")
     sized = F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
     likely = cut(both.where(sized & (near >= SIMILAR - 0.25)).select("a", "b"))
-    drop(links, met, twos)
+    drop(links, met, twos, least)
     return likely
 
 
@@ -326,14 +327,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
         held()
         return pd.Series([shingle_hashes(t).view(np.int64).tolist() for t in texts])
 
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(map(shingle_hashes, a), map(shingle_hashes, b)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
-        return pd.Series(out, dtype="float64")
-
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.select("doc_id", F.md5("text").alias("text_hash"), "text")
     prints = cut(hashed.select("doc_id", "text_hash", sketched("text").alias("s")).select("doc_id", "text_hash", "s.*"))
@@ -343,9 +336,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return hashed.join(small(cut(ids)), "doc_id", "left_semi").join(classes.select("text_hash", "doc_id").hint("merge"), ["text_hash", "doc_id"], "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).select("doc_id", "text")
-        left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(left, "a").join(right, "b").withColumn("j", jaccard("ta", "tb")).where(F.col("j") >= SIMILAR - 1e-9).select("a", "b")
+        # each text's shingles are made once, however many pairs it is in
+        sets = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).select("doc_id", shingled("text").alias("s")))
+        left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+        met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        links = cut(met.where(F.col("both") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b"))
+        drop(sets)
+        return links
 
     pairs = likely_pairs(classes)
     links = cut(verified(pairs))

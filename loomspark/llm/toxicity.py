@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -107,22 +108,29 @@ class Index:
     """Inverted lists over all terms of the labelled examples, cut into blocks of examples; each list keeps its
     largest weight in every block that it reaches, for exact search that passes over blocks."""
 
-    def __init__(self, weights: dict[str, float], examples: list[tuple[int, dict, int]], rate: float):
+    def __init__(self, weights: dict[str, float], examples: Iterable[tuple[int, dict, int]], rate: float):
         """weights: the idf of each term, raised for telling ones. examples: (doc_id, counts of terms, label)."""
-        self.terms, self.idf, self.rate = {t: i for i, t in enumerate(weights)}, np.array([*weights.values()], np.float64), rate
-        rows = [(doc_id, *self.vector({self.terms[t]: n for t, n in c.items() if t in self.terms}), y) for doc_id, c, y in examples]
+        hashes = np.array([xxh64_intdigest(t.encode("utf-8", "replace"), 42) for t in weights], np.uint64)
+        order = np.argsort(hashes)
+        self.names, self.idf, self.rate = hashes[order], np.array([*weights.values()], np.float64)[order], rate
+        self.terms = dict(zip([*weights], np.argsort(order).tolist()))
+        rows = []
+        for doc_id, c, y in examples:
+            known = {self.terms[t]: n for t, n in c.items() if t in self.terms}
+            at, w = self.vector((np.fromiter(known.keys(), np.int64, len(known)), np.fromiter(known.values(), np.float64, len(known))))
+            rows.append((doc_id, at.astype(np.int32), w.astype(np.float32), y))
         # examples with the same most common terms, so of one language, share blocks: sharper bounds
         rows.sort(key=lambda r: (*r[1][np.argsort(self.idf[r[1]], kind="stable")[:3]].tolist(), r[0]))
         self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
         self.blocks = -(-len(rows) // BLOCK)
         sizes = [len(r[1]) for r in rows]
-        term = np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)])
+        term = np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int32)])
         order = np.argsort(term, kind="stable")
         term = term[order]
-        self.example = np.repeat(np.arange(len(rows)), sizes)[order]
-        self.weight = np.concatenate([r[2] for r in rows] or [np.zeros(0)])[order]
+        self.example = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+        self.weight = np.concatenate([r[2] for r in rows] or [np.zeros(0, np.float32)])[order]
         # a section is the part of a term's list in one block
-        where = term * max(1, self.blocks) + self.example // BLOCK
+        where = term.astype(np.int64) * max(1, self.blocks) + self.example // BLOCK
         begins = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
         self.sections = np.append(begins, len(where)).astype(np.int32)
         self.block = self.example[begins] // BLOCK
@@ -130,22 +138,31 @@ class Index:
         self.lists = np.searchsorted(term[begins], np.arange(len(self.terms) + 1)).astype(np.int32)
         self.slope, self.offset = 1.0, 0.0
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def __getstate__(self) -> dict:
+        """Workers look terms up by their hash; the terms themselves stay on the driver."""
+        return self.__dict__ | {"terms": None}
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of the index's terms: (1 + ln tf) idf, of length 1."""
-        at = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
+        at, tf = counts
+        w = (1 + np.log(tf)) * self.idf[at]
         return at, w / (np.sqrt(w @ w) or 1.0)
 
-    def counts(self, text: str) -> dict[int, int]:
-        """Of the index's own terms, by their places."""
-        out: dict[int, int] = {}
-        place = self.terms.get
-        for word, n in Counter(WORD.findall(text)).items():
-            if (t := place(word)) is not None:
-                out[t] = n
-            if len(word) > STEM and (t := place("^" + word[:STEM])) is not None:
-                out[t] = out.get(t, 0) + n
-        return out
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the index's own terms in a text, found by their XXH64, and how often each is there."""
+        words = Counter(WORD.findall(text))
+        stems = Counter()
+        for word, n in words.items():
+            if len(word) > STEM:
+                stems["^" + word[:STEM]] += n
+        size = len(words) + len(stems)
+        if not size or not len(self.names):
+            return np.zeros(0, np.int64), np.zeros(0)
+        hashes = np.fromiter((xxh64_intdigest(t.encode("utf-8", "replace"), 42) for c in (words, stems) for t in c), np.uint64, size)
+        tf = np.fromiter((n for c in (words, stems) for n in c.values()), np.float64, size)
+        at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
+        hit = self.names[at] == hashes
+        return at[hit], tf[hit]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine above 0 (but those at `without`), exact; of
@@ -225,13 +242,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     lowered = docs.select("doc_id", F.lower("text").alias("text"))
     sample = labelled_sample(lowered, labels, label, rows)
     y = np.array([r[2] for r in sample], np.float64)
-    counts = [term_counts(text) for _, text, _ in sample]
-    terms = sorted(set().union(*counts))
+    terms: set[str] = set()
+    for _, text, _ in sample:
+        terms.update(term_counts(text))
+    terms = sorted(terms)
     more = telling(without_copies(sample)) if raised else {}
     n, df = document_frequencies(docs, terms) if terms else (0, np.zeros(0))
     idf = np.log((1 + n) / (1 + df)) + 1e-3
     rate = float(y.mean()) if len(y) else 0.0
-    index = Index({t: w * (1 + more.get(t, 0)) for t, w in zip(terms, idf.tolist())}, [(i, c, v) for (i, _, v), c in zip(sample, counts)], rate)
+    # one text's counts are held at a time
+    index = Index({t: w * (1 + more.get(t, 0)) for t, w in zip(terms, idf.tolist())}, ((i, term_counts(text), v) for i, text, v in sample), rate)
     if 0 < rate < 1:
         place, alike = {i: k for k, i in enumerate(index.ids.tolist())}, {}
         for i, t, _ in sample:

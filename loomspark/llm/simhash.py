@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,14 +195,15 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(_runs(hashes, SHINGLE)) if len(hashes) else hashes
 
 
-def sketch(text: str | None) -> tuple[int, list[int], list[int], int]:
-    """SimHashes of a whole text and of up to PIECES pieces of it, its least shingle hashes, its shingles' number.
+def sketch(text: str | None) -> tuple[int, np.ndarray, np.ndarray, int, np.ndarray]:
+    """SimHashes of a whole text and of up to PIECES pieces of it, its least shingle hashes, its shingles' number, and
+    its lowest shingles (see lowest).
 
     Pieces begin at word pairs whose hash says so, on average every PIECE_WORDS words, so an edit changes only the
     piece it is in; of all pieces those with the smallest mixed SimHash are kept, in any text the same ones."""
     hashes = word_hashes(text)
     if not len(hashes):
-        return 0, [], [], 0
+        return 0, hashes, hashes, 0, hashes
     triples = _runs(hashes, 3)
     bits = np.unpackbits(triples.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     starts = np.concatenate([[0], 1 + np.flatnonzero(_runs(hashes, 2)[:-1] % np.uint64(PIECE_WORDS) == 0)]) if len(hashes) > 3 else np.array([0])
@@ -214,14 +216,20 @@ def sketch(text: str | None) -> tuple[int, list[int], list[int], int]:
     long = np.unique(long if len(long) else prints)
     kept = long[np.argsort(_mix(long), kind="stable")[:PIECES]]
     least = np.unique(_runs(hashes, SHINGLE))
-    return int(whole.view(np.int64)[0]), kept.view(np.int64).tolist(), least[:LEAST_HASHES].view(np.int64).tolist(), len(least)
+    return int(whole.view(np.int64)[0]), kept, least[:LEAST_HASHES], len(least), lowest(least)
 
 
-def lowest(text: str | None) -> list[int]:
-    """The smallest 3 of 10 of a text's shingle hashes, one more than a fifth of them at least: a text that is 0.8
+def lowest(found: np.ndarray) -> np.ndarray:
+    """The smallest 3 of 10 of a text's sorted shingle hashes, one more than a fifth of them at least: a text that is 0.8
     or more like this one lacks a fifth of the shingles at most, so it has all of these but a fifth of n."""
-    found = shingle_hashes(text)
-    return found[: max(-(-3 * len(found) // 10), len(found) // 5 + 1)].view(np.int64).tolist()
+    return found[: max(-(-3 * len(found) // 10), len(found) // 5 + 1)]
+
+
+def listed(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit hashes as one column, without an object for each number."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays], dtype=np.int64)]).astype(np.int32)
+    values = np.concatenate(arrays or [np.zeros(0, np.uint64)]).astype(np.uint64, copy=False)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
 def open_texts(classes: DataFrame) -> DataFrame:
@@ -317,15 +325,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     fuzzy hashing (see sketch and likely_pairs); what it misses, by the shingles themselves (see open_texts, prefixes
     and connect), so that no link is. Equal texts, also all without words, are one text."""
 
-    @F.pandas_udf("whole bigint, pieces array<bigint>, least array<bigint>, n int, low array<bigint>")
-    def sketched(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("whole bigint, pieces array<bigint>, least array<bigint>, n int, low array<bigint>")
+    def sketched(texts: pa.Array) -> pa.Array:
         held()
-        return pd.DataFrame([(*sketch(t), lowest(t)) for t in texts], columns=["whole", "pieces", "least", "n", "low"])
+        whole, pieces, least, n, low = zip(*(sketch(t) for t in texts.to_pylist())) if len(texts) else [()] * 5
+        return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), listed(list(pieces)), listed(list(least)), pa.array(n, pa.int32()), listed(list(low))], names=["whole", "pieces", "least", "n", "low"])
 
-    @F.pandas_udf("array<bigint>")
-    def shingled(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<bigint>")
+    def shingled(texts: pa.Array) -> pa.Array:
         held()
-        return pd.Series([shingle_hashes(t).view(np.int64).tolist() for t in texts])
+        return listed([shingle_hashes(t) for t in texts.to_pylist()])
 
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.select("doc_id", F.md5("text").alias("text_hash"), "text")

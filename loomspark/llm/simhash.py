@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, held, small
@@ -244,13 +244,13 @@ def open_texts(classes: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, weight, sh): of each of `texts` (doc_id, text_hash, sh: every shingle) the rarest n // 5 + 1
+    """(doc_id, n, weight, sh): of each of `texts` (doc_id, alt, sh: every shingle) the rarest n // 5 + 1
     shingles, those of one text alone left out. Two texts that are 0.8 or more alike share one of theirs, as all order
     shingles alike. The weight says how much a text has in common with all others."""
     counts = cut(texts.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))  # written, so that a common shingle's join can be split
-    sizes = texts.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    common = texts.join(counts, "sh").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("c", "sh"))).alias("s"), F.sum("c").alias("weight"))
-    first = common.join(sizes, ["doc_id", "text_hash"]).withColumn("few", F.expr("n div 5 + 1 - (n - size(s))")).where("few > 0")
+    sizes = texts.groupBy("doc_id", "alt").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    common = texts.join(counts, "sh").groupBy("doc_id", "alt").agg(F.sort_array(F.collect_list(F.struct("c", "sh"))).alias("s"), F.sum("c").alias("weight"))
+    first = common.join(sizes, ["doc_id", "alt"]).withColumn("few", F.expr("n div 5 + 1 - (n - size(s))")).where("few > 0")
     return first.select("doc_id", "n", "weight", F.explode(F.expr("slice(s, 1, int(few)).sh")).alias("sh"))
 
 
@@ -339,10 +339,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.select("doc_id", F.md5("text").alias("text_hash"), "text")
     prints = cut(hashed.select("doc_id", "text_hash", sketched("text").alias("s")).select("doc_id", "text_hash", "s.*"))
-    classes = cut(prints.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("whole", "pieces", "least", "n", "low")).alias("s")).select("text_hash", "doc_id", "s.*"))
-    # a doc_id that stands for several texts has all their pieces; each of its texts is then compared
+    classes = cut(prints.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("whole", "pieces", "least", "n", "low")).alias("s")).select("text_hash", "doc_id", "s.*").withColumn("alt", F.row_number().over(Window.partitionBy("doc_id").orderBy("text_hash"))))
+    repeated = not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+
+    # a doc_id that stands for several texts, numbered by alt, has all their pieces; each of its texts is then compared
     def texts_of(ids: DataFrame) -> DataFrame:
-        return hashed.join(small(cut(ids)), "doc_id", "left_semi").join(classes.select("text_hash", "doc_id").hint("merge"), ["text_hash", "doc_id"], "left_semi")
+        return hashed.join(small(cut(ids)), "doc_id", "left_semi").join(classes.select("text_hash", "doc_id", "alt").hint("merge"), ["text_hash", "doc_id"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         # each text's shingles are made once, however many pairs it is in
@@ -355,8 +357,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     pairs = likely_pairs(classes)
     links = cut(verified(pairs))
-    whole = texts_of(open_texts(classes)).select("doc_id", "text_hash", F.explode(shingled("text")).alias("sh")).distinct()
-    whole = cut(whole)
+    whole = texts_of(open_texts(classes)).select("doc_id", "alt", F.explode(shingled("text")).alias("sh"))
+    whole = cut(whole.distinct() if repeated else whole)
     keyed = cut(prefixes(whole))
     drop(whole)
     roots = connect(keyed, links, verified).withColumnsRenamed({"node": "doc_id"})

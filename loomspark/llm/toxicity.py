@@ -17,7 +17,7 @@ from .common import held
 
 #: Labelled rows that are drawn to learn from, at most: those with the smallest md5 of their doc_id; and the bytes of
 #: their texts, in that order, at most. Both bounds hold for the fit alone: every row of docs is counted and scored.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 32 << 20
 #: Examples of one block, neighbours that vote.
 BLOCK, NEIGHBOURS = 64, 25
 #: A term that the label favours weighs more, by 1 for each so much of its G statistic beyond chance.

@@ -37,7 +37,7 @@ def pagerank(spark, o) -> None:
 def cluster(spark, o) -> None:
     read = points.read_binary_points if o.binary else points.read_text_points
     rows = read(spark, o.input)
-    fitted = kmeans.kmeans(rows, o.n, threshold=o.threshold)
+    fitted = kmeans.kmeans(rows, o.n, threshold=o.threshold, init=o.init, min_size=o.minsize, least_passes=o.passes)
     points.write_centres(fitted.table(spark), o.output + ".cluster_centres")
     points.write_membership(fitted.membership(rows), o.output + ".membership")
 
@@ -56,6 +56,9 @@ def options(args: list[str]) -> argparse.Namespace:
     p.add_argument("-top", type=int, default=5)
     p.add_argument("-threshold", type=float, default=0.001)
     p.add_argument("-binary", action="store_true")
+    p.add_argument("-init", choices=sorted(kmeans.SEEDINGS), default="first")
+    p.add_argument("-minsize", type=int, default=1)
+    p.add_argument("-passes", type=int, default=1)
     o, _ = p.parse_known_args(args)
     missing = [x for x in ("program", "input", "output", *NEEDED.get(o.program, [])) if getattr(o, x) is None]
     if missing or o.program not in PROGRAMS:

@@ -100,12 +100,22 @@ def first_rows(points: DataFrame, k: int) -> np.ndarray:
 
 
 def random_rows(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
-    return np.array([r.v for r in points.orderBy(F.rand(seed), "id").limit(k).collect()], np.float64)
+    """The rows with the smallest hashes of (seed, id): the same ones however the points are dealt out."""
+    return np.array([r.v for r in points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).collect()], np.float64)
+
+
+def plus_plus_rows(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
+    """K-means++: the first seed is the row with the smallest hash, the draws come from a generator with the seed."""
+    first = points.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").first()
+    ids = plus_plus(points, first.id, np.random.default_rng(seed).random(k - 1).tolist()) if first else []
+    found = {r.id: r.v for r in points.where(F.col("id").isin(*ids)).collect()} if ids else {}
+    return np.array([found[i] for i in ids], np.float64)
 
 
 def plus_plus(points: DataFrame, first_id: int, draws: list[float]) -> list[int]:
     """Ids of seeds: the first given, each further one the first point at which the running sum of the squared
-    distances to the nearest seed, by id and relative to the total, exceeds the next draw from [0, 1)."""
+    distances to the nearest seed, by id and relative to the total, exceeds the next draw from [0, 1). Where all points
+    are at seeds, the smallest id that is none yet; there are no more seeds than points."""
     ids = [first_id]
     for draw in draws:
         seeds = np.array([r.v for r in sorted(points.where(F.col("id").isin(*ids)).select("id", "v").collect())], np.float64)
@@ -113,11 +123,18 @@ def plus_plus(points: DataFrame, first_id: int, draws: list[float]) -> list[int]
         sums = running_sum(dist.select("id", "dist"), "id", "dist")
         total = sums.agg(F.max("running")).first()[0]
         found = sums.where(F.lit(draw) * total < F.col("running")).agg(F.min("id")).first()[0]
+        if found is None:
+            found = points.where(~F.col("id").isin(*ids)).agg(F.min("id")).first()[0]
+        if found is None:
+            break
         ids.append(found)
     return ids
 
 
-#: Numbers (points times coordinates) up to which the passes run on the driver: counted first, 32 MB at most.
+#: How to find the first centres.
+SEEDINGS = {"first": lambda points, k, seed: first_rows(points, k), "random": random_rows, "k-means++": plus_plus_rows}
+#: Numbers (points times coordinates) up to which the passes run on the driver: counted first; they come as Arrow
+#: columns, 32 MB, and are held as an array of as many.
 LOCAL_NUMBERS = 4_000_000
 
 
@@ -128,7 +145,7 @@ class Fitted:
     loops: int
 
     def membership(self, points: DataFrame) -> DataFrame:
-        return assign(points, self.last)
+        return assign(points, self.last) if len(self.last) else assign(points.limit(0), np.zeros((1, 1)))
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(self.centres)], "cid int, c array<double>")
@@ -137,19 +154,25 @@ class Fitted:
 def kmeans(points: DataFrame, k: int, threshold: float = 0.001, max_loops: int = 500, init: str | np.ndarray = "first", min_size: int = 1, least_passes: int = 1, seed: int = 0) -> Fitted:
     """Lloyd's passes until no more than `threshold` of the points change cluster, max_loops + 1 at most.
 
-    init: "first" (the k rows with the smallest ids), "random", or the centres. min_size 2 lets clusters of one
+    init: "first" (the k rows with the smallest ids), "random", "k-means++", or the centres. Fewer points than k give as
+    many centres, none for an empty table. min_size 2 lets clusters of one
     point keep their centre; least_passes forces as many. Each pass is one scan of the points and K rows to the
     driver; the points are kept in memory as far as it goes. Up to LOCAL_NUMBERS, where a pass is shorter than
     starting its tasks, the same passes run over an array on the driver."""
     if k < 2:
         raise ValueError("k has to be 2 or more")
+    if isinstance(init, str) and init not in SEEDINGS:
+        raise ValueError(f"init has to be one of {', '.join(SEEDINGS)}, or centres")
     points = points.select("id", "v").persist()
     n = points.count()
-    centres = np.asarray(init, np.float64) if not isinstance(init, str) else (first_rows if init == "first" else lambda p, k: random_rows(p, k, seed))(points, k)
+    if not n:
+        points.unpersist()
+        return Fitted(np.zeros((0, 0)), np.zeros((0, 0)), 0)
+    centres = SEEDINGS[init](points, k, seed) if isinstance(init, str) else np.asarray(init, np.float64)
     before, last, loop = None, centres, 0
     x = None
     if n * centres.shape[1] <= LOCAL_NUMBERS:
-        x, was = np.array([r.v for r in points.select("v").collect()], np.float64), None
+        x, was = np.stack(points.select(F.col("v").cast("array<double>").alias("v")).toArrow()["v"].to_numpy()), None
     while True:
         last = centres
         if x is not None:

@@ -253,6 +253,16 @@ def kmeans_full(spark, sf_dir):
     return _centre_table(spark, kmeans.kmeans(vectors(spark, sf_dir), 10, threshold=0.0, max_loops=5).centres)
 
 
+@query(f"WITH {sql.lloyd(6)} SELECT cid, unnest(range(0, 64))::INT AS j, round(unnest(c), 6) AS x FROM c6")
+def kmeans_passes(spark, sf_dir):
+    """kmeans_full by distributed passes, as tables beyond LOCAL_NUMBERS take them."""
+    p = vectors(spark, sf_dir)
+    now, before = kmeans.first_rows(p, 10), None
+    for _ in range(6):
+        now, before = kmeans.update(kmeans.partial_sums(p, now, before), now)[0], now
+    return _centre_table(spark, now)
+
+
 DRAWS = [0.13, 0.37, 0.61, 0.89]
 
 
@@ -318,10 +328,12 @@ def matrix_max_abs_diff(spark, sf_dir):
     return linalg.max_abs_diff(matrix(spark, sf_dir), scaled(spark, sf_dir))
 
 
-@query("SELECT true AS equal")
+@query(f"WITH {sql.MATRIX}, {sql.SCALED}, pairs AS (SELECT 'itself' AS pair, e.v AS x, e.v AS y FROM e UNION ALL SELECT 'scaled', e.v, b.v FROM e FULL JOIN b USING (i, j)) SELECT pair, bool_and(coalesce(x = y, false)) AS equal FROM pairs GROUP BY pair")
 def matrix_equals(spark, sf_dir):
+    """A matrix and its transpose's transpose, and a matrix and another one."""
     e = matrix(spark, sf_dir)
-    return linalg.equals(e, linalg.transpose(linalg.transpose(e)))
+    same, other = linalg.equals(e, linalg.transpose(linalg.transpose(e))), linalg.equals(e, scaled(spark, sf_dir))
+    return same.select(F.lit("itself").alias("pair"), "equal").unionByName(other.select(F.lit("scaled").alias("pair"), "equal"))
 
 
 @query("SELECT 1000::BIGINT AS cells, true AS in_range")
@@ -371,14 +383,8 @@ def scalar_functions(spark, sf_dir):
     return keys.select("o_custkey", next_power_of_two(F.col("o_custkey")).alias("p2"), ((part >= 0) & (part < 7)).alias("in_range"))
 
 
-@query("SELECT doc_id, " + sql.tokens("text").removeprefix("regexp_split_to_array(").removesuffix(", '\\s+')") + " AS line FROM documents WHERE NOT contains(text, chr(10))")
-def normalized_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\n")))
-    return docs.select("doc_id", normalize(F.col("text")).alias("line"))
-
-
 @query(f"SELECT doc_id, pos, {sql.tokens('line').removeprefix('regexp_split_to_array(').removesuffix(", '\\s+')")} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::INT AS pos FROM documents WHERE text IS NOT NULL)")
 def normalized_document_lines(spark, sf_dir):
-    """Every line of every document; normalized_lines has only documents of one line."""
+    """Every line of every document."""
     lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
     return lines.select("doc_id", "pos", normalize(F.col("value")).alias("line"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 def read_text_points(spark: SparkSession, path: str) -> DataFrame:
     """(id, v) of lines `name x y ...`, separated by spaces, commas or tabs: the first field is dropped, blank lines
     are skipped, and the id is the line's place among the others, by file name and place in the file. The first line's
-    number of coordinates holds for all; a field that is no number reads as null."""
+    number of coordinates holds for all: further fields are dropped, missing ones and those that are no number read as
+    null."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     lines = lines.where(F.trim(F.regexp_replace("value", "[\t,]", " ")) != "").withColumn("at", F.monotonically_increasing_id())
     # a row for each split of a file; within one, the ids that Spark gives are consecutive
@@ -22,7 +23,11 @@ def read_text_points(spark: SparkSession, path: str) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")
     numbered = lines.join(F.broadcast(splits.select("file", "start", "low", before.alias("before"))), ["file", "start"]).withColumn("id", F.col("before") + F.col("at") - F.col("low"))
     fields = F.split(F.trim(F.regexp_replace("value", "[ ,\t]+", " ")), " ")
-    return numbered.select("id", F.transform(F.slice(fields, 2, 1 << 20), lambda x: x.try_cast("float")).alias("v"))
+    numbered = numbered.withColumn("fields", fields)
+    first = numbered.where("id = 0").select(F.size("fields")).first()
+    if first is None or first[0] < 2:
+        return numbered.select("id", F.array().cast("array<float>").alias("v"))
+    return numbered.select("id", F.transform(F.sequence(F.lit(1), F.lit(first[0] - 1)), lambda k: F.get("fields", k).try_cast("float")).alias("v"))
 
 
 def read_binary_points(spark: SparkSession, path: str) -> DataFrame:

@@ -101,3 +101,21 @@ def test_elementwise(spark):
 def test_random_matrix_is_repeatable(spark):
     a, b = (linalg.random_matrix(spark, 5, 6, seed=3).repartition(k) for k in (1, 4))
     assert linalg.equals(a, b).first().equal is True
+
+
+def test_seedings(spark):
+    x = np.concatenate([np.random.default_rng(4).normal(c, 0.05, (30, 2)) for c in (0, 10, 20)])
+    p = points(spark, x)
+    fitted = kmeans.kmeans(p, 3, init="k-means++", seed=1)
+    assert sorted(fitted.centres[:, 0].round().tolist()) == [0, 10, 20]
+    assert np.array_equal(kmeans.random_rows(p, 4, 7), kmeans.random_rows(p.repartition(5), 4, 7))
+    with pytest.raises(ValueError):
+        kmeans.kmeans(p, 3, init="kmeans++")
+
+
+def test_equal_and_no_points(spark):
+    assert kmeans.plus_plus(points(spark, [[1.0]] * 3), 1, [0.1, 0.5, 0.9]) == [1, 0, 2]
+    none = points(spark, [[1.0]]).limit(0)
+    for init in kmeans.SEEDINGS:
+        fitted = kmeans.kmeans(none, 2, init=init)
+        assert fitted.centres.size == 0 and fitted.membership(none).count() == 0 and fitted.loops == 0

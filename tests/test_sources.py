@@ -112,3 +112,12 @@ def test_late_rows_leave_the_windows(spark, tmp_path):
         stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
         seen = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.n for r in seen.collect()) == [1, 1]  # the row of 00:00:20 came after its window was closed
+
+
+def test_width_of_the_first_line(spark, tmp_path):
+    from loomspark.sources import points
+
+    (tmp_path / "p.txt").write_text("a 1 2\n\nb 3 4 5\nc 6\n")
+    assert [r.v for r in points.read_text_points(spark, str(tmp_path / "p.txt")).orderBy("id").collect()] == [[1.0, 2.0], [3.0, 4.0], [6.0, None]]
+    (tmp_path / "q.txt").write_text("\n")
+    assert points.read_text_points(spark, str(tmp_path / "q.txt")).count() == 0

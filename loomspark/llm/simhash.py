@@ -259,20 +259,28 @@ def connect(keyed: DataFrame, links: DataFrame, verify) -> DataFrame:
     keyed (doc_id, n, weight, sh).
 
     In each round every key whose texts are not all connected gives pivots, those with most in common with the
-    others first, one, then two, four and so on; a pivot is compared with every text of the key that is not connected
+    others first, one, then four, 16 and so on; a pivot is compared with every text of the key that is not connected
     to it. That ends when each key's texts are connected or each of them was a pivot, so no link between two
-    components is missed. Near copies of one text take a round or two, without pairing them all."""
+    components is missed. Near copies of one text take a round or two, without pairing them all. Components are
+    made anew only after a round that found a link."""
+
+    def unconnected(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+        now = keyed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        apart = cut(now.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh"))
+        found = cut(now.join(apart, "sh", "left_semi"))
+        drop(apart)
+        return found
+
+    roots = cut(components(links))
+    now = unconnected(keyed, roots)
     done = tested = None
     step = 0
     while True:
-        roots = components(links)
-        now = keyed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        apart = now.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
-        now = cut(now.join(cut(apart), "sh", "left_semi"))
         fresh = now if done is None else now.join(done, ["sh", "doc_id", "n"], "left_anti")
-        best = fresh.groupBy("sh", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.lit(1 << step)).alias("share")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc_id", "n", "root")).alias("p"))
+        best = fresh.groupBy("sh", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.lit(4**step)).alias("share")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc_id", "n", "root")).alias("p"))
         pivots = cut(best.select("sh", "p.doc_id", "p.n", "p.root"))
         if pivots.isEmpty():
+            drop(now, pivots)
             return roots
         met = pivots.select("sh", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(now, "sh")
         met = met.where((F.col("rx") != F.col("root")) & (F.least("nx", "n") >= SIMILAR * F.greatest("nx", "n") - 1e-6))
@@ -281,8 +289,12 @@ def connect(keyed: DataFrame, links: DataFrame, verify) -> DataFrame:
         marks = pivots.select("sh", "doc_id", "n")
         done = marks if done is None else done.unionByName(marks)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = cut(links.unionByName(verify(pairs)))
-        drop(now)
+        found = None if pairs.isEmpty() else verify(pairs)
+        if found is not None and not found.isEmpty():
+            links = cut(links.unionByName(found))
+            former, roots = (now, roots), cut(components(links))
+            now = unconnected(now.drop("root"), roots)
+            drop(*former)
         step += 1
 
 

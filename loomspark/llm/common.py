@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,29 @@ def held(key=None, make=None):
     return _held.get(key)
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is written inside sends Arrow batches of so many rows to Python, at most: whole texts and their hashes
+    are held for one batch a task. The session's own setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def parts(texts: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The texts of an Arrow batch, some at a time, so that few of them are Python objects at once. An empty batch
+    is one empty part."""
+    for at in range(0, max(1, len(texts)), rows):
+        yield texts.slice(at, rows).to_pylist()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if counts of its rows and bytes show it small enough, else df: Spark then shuffles
     both sides."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, held, small
+from .common import batches, cut, drop, held, parts, small
 from .components import components
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
@@ -340,17 +340,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("whole bigint, pieces array<bigint>, least array<bigint>, n int, low array<bigint>")
     def sketched(texts: pa.Array) -> pa.Array:
         held()
-        whole, pieces, least, n, low = zip(*(sketch(t) for t in texts.to_pylist())) if len(texts) else [()] * 5
-        return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), listed(list(pieces)), listed(list(least)), pa.array(n, pa.int32()), listed(list(low))], names=["whole", "pieces", "least", "n", "low"])
+        return pa.concat_arrays([columns(*zip(*map(sketch, part))) if part else columns(*[()] * 5) for part in parts(texts)])
+
+    def columns(whole: tuple, pieces: tuple, least: tuple, n: tuple, low: tuple) -> pa.StructArray:
+        return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), listed([*pieces]), listed([*least]), pa.array(n, pa.int32()), listed([*low])], names=["whole", "pieces", "least", "n", "low"])
 
     @F.arrow_udf("array<bigint>")
     def shingled(texts: pa.Array) -> pa.Array:
         held()
-        return listed([shingle_hashes(t) for t in texts.to_pylist()])
+        return pa.concat_arrays([listed([shingle_hashes(t) for t in part]) for part in parts(texts)])
 
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.select("doc_id", F.md5("text").alias("text_hash"), "text")
-    prints = cut(hashed.select("doc_id", "text_hash", sketched("text").alias("s")).select("doc_id", "text_hash", "s.*"))
+    with batches(docs.sparkSession):
+        prints = cut(hashed.select("doc_id", "text_hash", sketched("text").alias("s")).select("doc_id", "text_hash", "s.*"))
     classes = cut(prints.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("whole", "pieces", "least", "n", "low")).alias("s")).select("text_hash", "doc_id", "s.*").withColumn("alt", F.row_number().over(Window.partitionBy("doc_id").orderBy("text_hash"))))
     repeated = not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
 
@@ -360,7 +363,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         # each text's shingles are made once, however many pairs it is in
-        sets = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).select("doc_id", shingled("text").alias("s")))
+        with batches(docs.sparkSession):
+            sets = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).select("doc_id", shingled("text").alias("s")))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
         met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
         links = cut(met.where(F.col("both") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b"))
@@ -370,7 +374,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pairs = likely_pairs(classes)
     links = cut(verified(pairs))
     whole = texts_of(open_texts(classes)).select("doc_id", "alt", F.explode(shingled("text")).alias("sh"))
-    whole = cut(whole.distinct() if repeated else whole)
+    with batches(docs.sparkSession):
+        whole = cut(whole.distinct() if repeated else whole)
     keyed = cut(prefixes(whole))
     drop(whole)
     roots = connect(keyed, links, verified).withColumnsRenamed({"node": "doc_id"})

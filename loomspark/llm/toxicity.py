@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import held
+from .common import held, parts
 
 #: Labelled rows that are drawn to learn from, at most: those with the smallest md5 of their doc_id; and the bytes of
 #: their texts, in that order, at most. Both bounds hold for the fit alone: every row of docs is counted and scored.
@@ -276,7 +276,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def of(texts: pa.Array) -> pa.Array:
         held()
         model = shared.value
-        found = [model.score(t or "") for t in texts.to_pylist()]
+        found = [model.score(t or "") for part in parts(texts) for t in part]
         places = np.concatenate([p for _, p, _ in found] or [np.zeros(0, np.int64)])
         near = pa.StructArray.from_arrays([pa.array(model.ids[places]), pa.array(np.concatenate([c for _, _, c in found] or [np.zeros(0)])), pa.array(model.labels[places].astype(np.int32))], fields=list(evidence))
         offsets = np.concatenate([[0], np.cumsum([len(p) for _, p, _ in found], dtype=np.int64)]).astype(np.int32)

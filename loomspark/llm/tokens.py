@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held, small
+from .common import batches, cut, held, parts, small
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
@@ -236,7 +236,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     so each block can be read alone. Rows that share a doc_id are written one after the other; other columns
     are ignored; an empty table writes no rows. A task holds one block and the text being read."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         block, before, doc_ids, held, size = 0, 0, [], [], 0
 
@@ -246,10 +246,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             row = (part, block, before, len(ids), doc_ids, [len(x) for x in held], ranked, control, data)
             return pa.RecordBatch.from_pylist([dict(zip(FILE_COLUMNS.names, row))], schema=FILE_COLUMNS)
 
-        for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for name, ids in zip(names[at : at + 256], model.encode(texts[at : at + 256])):
+        for batch in found:
+            names = iter(batch.column("doc_id").to_pylist())
+            for texts in parts(batch.column("text")):
+                for ids, name in zip(model.encode(texts) if texts else (), names):
                     doc_ids.append(name)
                     held.append(np.append(ids, np.uint32(end_id)))
                     size += len(held[-1])
@@ -263,7 +263,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     if rows.schema["doc_id"].dataType.simpleString() != "bigint":
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(blocks, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    with batches(docs.sparkSession):
+        ranged.mapInArrow(blocks, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -33,6 +33,12 @@ def next_phrase(counts: DataFrame, limits: tuple = PHRASE_LIMITS, probabilities:
     totals = counts.where("freq >= 2 and phrase != ''").select("phrase", F.col("freq").alias("total"))
     own = totals.select("phrase", F.lit("@").alias("next_phrase"), F.col("total").alias("freq"), F.lit(1).alias("n_words"), "total")
     rows = split.join(totals, "phrase").unionByName(own)
+    return best_phrases(rows, limits, probabilities)
+
+
+def best_phrases(rows: DataFrame, limits: tuple, probabilities: tuple) -> DataFrame:
+    """(phrase, next_phrase, freq, probability) of the suggestions to keep, from all of them (phrase, next_phrase,
+    freq, n_words, total) and the prefixes themselves as "@"."""
     best = Window.partitionBy("phrase", "n_words").orderBy(F.col("freq").desc(), "next_phrase")
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n_words"))
     # the constant bound lets Spark keep only the first rows of each group before it shuffles them

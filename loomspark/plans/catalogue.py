@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import normalize, partition_of, tokenize, word_count
 from loomspark.functions.vectors import add, next_power_of_two, squared_distance
-from loomspark.operators import cooccur, graph, kmeans, langmodel, linalg, ngrams, oplog, prefix, ratings, search
+from loomspark.operators import cooccur, graph, kmeans, langmodel, linalg, ngrams, oplog, phrasemodel, prefix, ratings, search
 from loomspark.sources import files, points, text
 from loomspark.sources.scratch import new_path, written
 from loomspark.sources.tables import spread, table
@@ -117,7 +117,9 @@ def lm_next_word(spark, sf_dir):
     WHERE place <= [3, 2, 2, 1][n] AND next_phrase <> '@' AND freq / total >= [0.05::DOUBLE, 0.03::DOUBLE, 0.01::DOUBLE, 0.005::DOUBLE][n]"""
 )
 def lm_next_phrase(spark, sf_dir):
-    return langmodel.next_phrase(written(ngrams.phrase_counts(doc_lines(spark, sf_dir), 5)))
+    docs = table(spark, sf_dir, "documents").select("text")
+    dealt = docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # then texts needn't be dealt out themselves
+    return phrasemodel.next_phrase(ngrams.lines_of(docs if dealt else spread(docs)))
 
 
 # graphs

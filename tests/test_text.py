@@ -1,8 +1,12 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import ngrams, normalize, tokenize
-from loomspark.operators import cooccur, langmodel
+from loomspark.operators import cooccur, langmodel, phrasemodel
 from loomspark.operators.ngrams import ngram_counts, phrase_counts
 
 GOLDEN = [
@@ -68,6 +72,29 @@ def test_next_phrase(spark):
     assert {(r.phrase, r.next_phrase): r.probability for r in got} == {("p", "s0"): 0.6, ("p", "s1"): 0.2, ("p", "s0 t"): 0.3, ("p s0", "t"): 0.5}
 
 
+ODD_WORDS = ["a", "b", "@", "#x", "ab", "a\x01b", "a\x01", "a!b", "é@é", "a\x1fc", "c\x80", "the", "the", "the", "the", "", ".", "1"]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 20, "sample": 1}, {"bucket": 300, "sample": 3}])
+def test_next_phrase_of_lines_equals_that_of_counts(spark, sizes):
+    draw = random.Random(3)
+    text = lines(spark, *(" ".join(draw.choice(ODD_WORDS) for _ in range(draw.randint(0, 9))) for _ in range(400))).repartition(5)
+    got, expected = phrasemodel.next_phrase(text, **sizes), langmodel.next_phrase(phrase_counts(text, 5))
+    assert got.dtypes == expected.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert phrasemodel.next_phrase(lines(spark), **sizes).count() == 0
+
+
+def test_next_phrase_of_lines_shuffles_a_place_once(spark):
+    """Lines without a repeated phrase of two words: what is dealt out stays below 12 bytes a place, the result whole."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(3000)]
+    ids = np.array([draw.randrange(3000) for _ in range(200_000)])
+    packed = [*phrasemodel.pack(pa.array(words), ids, np.arange(0, 200_001, 50), 5, 4, frozenset(words[:5]))]
+    assert sum(len(x) for row in packed for x in row[5:]) < 12 * len(ids)
+    assert sum(int(phrasemodel.unpack(*row[2:], 5)[2].sum()) for row in packed) == len(ids)
+
+
 def test_phrase_counts(spark):
     got = {r.phrase: r.freq for r in phrase_counts(lines(spark, "a b", "1 2 3"), 3).collect()}
     assert got == {"a": 1, "b": 1, "a b": 1}

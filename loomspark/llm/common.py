@@ -59,7 +59,9 @@ _held: dict = {}
 
 def held(key=None, make=None):
     """What this Python worker keeps from task to task: make(), once, while tasks ask for the same key. Tasks of
-    another operator begin with held(), so a reused worker never has the memory of two."""
+    another operator begin with held(), so a reused worker never has the memory of two. What Arrow keeps of former
+    batches goes back to the system."""
+    pa.default_memory_pool().release_unused()
     if key not in _held:
         _held.clear()
         if make:

@@ -176,6 +176,14 @@ def test_short_lists_give_the_same_as_blocks(monkeypatch):
     assert found[0] == found[1]
 
 
+def test_workers_give_memory_back(monkeypatch):
+    from loomspark.llm import common
+
+    calls = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    assert common.held("key", lambda: 5) == 5 and common.held("key") == 5 and common.held() is None and len(calls) == 3
+
+
 def test_document_frequencies_cover_all(spark):
     df, _, texts, _ = labelled(spark, 120)
     odd = ["İstanbul Straße ª²x_y 12ab3cd", "ǅungla ΣΑΣ vileword vileword", None]

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, cut, drop, held, parts, small
@@ -244,56 +244,72 @@ def open_texts(classes: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, weight, sh): of each of `texts` (doc_id, alt, sh: every shingle) the rarest n // 5 + 1
-    shingles, those of one text alone left out. Two texts that are 0.8 or more alike share one of theirs, as all order
-    shingles alike. The weight says how much a text has in common with all others."""
+    """(doc_id, n, weight, sh, place): of each of `texts` (doc_id, alt, sh: every shingle) the rarest n // 5 + 1
+    shingles, those of one text alone left out, and their places from the rarest, which those left out take too. Two
+    texts that are 0.8 or more alike share one of theirs, as all order shingles alike (see may_link). The weight says
+    how much a text has in common with all others."""
     counts = cut(texts.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))  # written, so that a common shingle's join can be split
     sizes = texts.groupBy("doc_id", "alt").agg(F.count(F.lit(1)).cast("int").alias("n"))
     common = texts.join(counts, "sh").groupBy("doc_id", "alt").agg(F.sort_array(F.collect_list(F.struct("c", "sh"))).alias("s"), F.sum("c").alias("weight"))
     first = common.join(sizes, ["doc_id", "alt"]).withColumn("few", F.expr("n div 5 + 1 - (n - size(s))")).where("few > 0")
-    return first.select("doc_id", "n", "weight", F.explode(F.expr("slice(s, 1, int(few)).sh")).alias("sh"))
+    return first.select("doc_id", "n", "weight", F.posexplode(F.expr("slice(s, 1, int(few)).sh")).alias("k", "sh"), F.expr("n - size(s)").alias("before")).selectExpr("doc_id", "n", "weight", "sh", "before + k AS place")
+
+
+def may_link(n: str, place: str, other: str, its_place: str) -> Column:
+    """Whether texts of n and other shingles may be 0.8 or more alike if the rarest that they share is at these places.
+
+    They would share 4/9 (n + other) shingles. None of those stands before the rarest one, so each text has that many
+    from its place on. Between texts of one size that is the rarest ninth, not the fifth that inclusion takes."""
+    return F.expr(f"9 * {place} <= 5 * {n} - 4 * {other} AND 9 * {its_place} <= 5 * {other} - 4 * {n}")
 
 
 def connect(keyed: DataFrame, links: DataFrame, verify) -> DataFrame:
     """(node, root) of the links (a, b) and of all links that verify() confirms between texts that share a key in
-    keyed (doc_id, n, weight, sh).
+    keyed (doc_id, n, weight, sh, place), where their sizes and places allow it (see may_link).
 
     In each round every key whose texts are not all connected gives pivots, those with most in common with the
-    others first, one, then four, 16 and so on; a pivot is compared with every text of the key that is not connected
-    to it. That ends when each key's texts are connected or each of them was a pivot, so no link between two
-    components is missed. Near copies of one text take a round or two, without pairing them all. Components are
-    made anew only after a round that found a link."""
+    others first, one, then four, 16 and so on, from the third round on from all of its components but the largest;
+    a pivot is compared with every text of the key that is not connected to it. That ends when each key's texts are
+    connected or each of them was a pivot or is in the largest component. Of two texts that are not connected one is
+    outside it, so no link between two components is missed. Near copies of one text take a round or two, without
+    pairing them all, and a few texts that no link joins to a large group don't make pivots of its members.
+    Components are made anew only after a round that found a link."""
 
     def unconnected(keyed: DataFrame, roots: DataFrame) -> DataFrame:
         now = keyed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        apart = cut(now.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh"))
-        found = cut(now.join(apart, "sh", "left_semi"))
+        sizes = now.groupBy("sh", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sh").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("parts"))
+        apart = cut(sizes.where("parts > 1").select("sh", F.col("m.root").alias("main")))
+        found = cut(now.join(apart, "sh"))
         drop(apart)
         return found
 
     roots = cut(components(links))
+    least = cut(keyed.groupBy("sh").agg(F.min("n").alias("least")))
+    keyed = cut(keyed.join(least, "sh").where("9 * place <= 5 * n - 4 * least").drop("least"))  # others may link to no text of the key
+    drop(least)
     now = unconnected(keyed, roots)
     done = tested = None
     step = 0
     while True:
-        fresh = now if done is None else now.join(done, ["sh", "doc_id", "n"], "left_anti")
-        best = fresh.groupBy("sh", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.lit(4**step)).alias("share")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc_id", "n", "root")).alias("p"))
-        pivots = cut(best.select("sh", "p.doc_id", "p.n", "p.root"))
+        fresh = now.where("root != main") if step > 1 else now
+        fresh = fresh if done is None else fresh.join(done, ["sh", "doc_id", "n", "place"], "left_anti")
+        best = fresh.groupBy("sh", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.lit(4**step)).alias("share")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc_id", "n", "place", "root")).alias("p"))
+        pivots = cut(best.select("sh", "p.doc_id", "p.n", "p.place", "p.root"))
         if pivots.isEmpty():
-            drop(now, pivots)
+            drop(keyed, now, pivots)
             return roots
-        met = pivots.select("sh", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(now, "sh")
-        met = met.where((F.col("rx") != F.col("root")) & (F.least("nx", "n") >= SIMILAR * F.greatest("nx", "n") - 1e-6))
+        met = pivots.select("sh", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx")).join(now, "sh")
+        met = met.where((F.col("rx") != F.col("root")) & may_link("nx", "px", "n", "place"))
         pairs = met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        marks = pivots.select("sh", "doc_id", "n")
+        marks = pivots.select("sh", "doc_id", "n", "place")
         done = marks if done is None else done.unionByName(marks)
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = None if pairs.isEmpty() else verify(pairs)
         if found is not None and not found.isEmpty():
             links = cut(links.unionByName(found))
             former, roots = (now, roots), cut(components(links))
-            now = unconnected(now.drop("root"), roots)
+            now = unconnected(now.drop("root", "main"), roots)
             drop(*former)
         step += 1
 

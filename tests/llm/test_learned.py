@@ -598,6 +598,33 @@ def test_large_groups_without_their_original_first(spark):
     assert got == wanted and len(set(wanted.values())) < 100
 
 
+def test_texts_that_barely_miss_a_large_group_are_not_paired_with_it(spark, monkeypatch):
+    r = random.Random(12)
+    words = prose(r, 400, WORDS).split()
+    rows = [(k, edited(r, " ".join(words), 7)) for k in range(80)]  # 35 of 396 shingles: linked to the original alone
+    rows[40] = (40, " ".join(words))
+    for k in range(80, 110):  # 13 edits of the same words in fives: about 0.75 like the original
+        new = list(words)
+        for at in range(3, 400, 31):
+            new[at] = f"edit{k % 6 if at > 100 else k}x{at}"
+        rows.append((k, " ".join(new)))
+    tested = []
+    whole = simhash.connect
+
+    def counted(keyed, links, verify):
+        def seen(pairs):
+            tested.append(pairs.count())
+            return verify(pairs)
+
+        return whole(keyed, links, seen)
+
+    monkeypatch.setattr(simhash, "connect", counted)
+    got = {x.doc_id: x.root for x in simhash.near_copies(docs(spark, rows).repartition(4)).collect()}
+    wanted = brute_roots(rows)
+    assert got == wanted and 3 < len(set(wanted.values()))
+    assert sum(tested) < 300
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (4, ""), (5, "other words here")]
     df = docs(spark, rows).withColumn("root", F.lit(1)).withColumn("text_hash", F.lit(1))
